@@ -10,18 +10,15 @@ TWO_32 = 4_294_967_296
 
 def string_hash(text: Column) -> Column:
     """Signed 32-bit polynomial hash (base 31) over the UTF-16 units of a string."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit(".{4}"), F.lit(0))
 
-    def step(acc: Column, char: Column) -> Column:
-        point = F.ascii(char).cast("bigint")
-        above = point - F.lit(65_536)
-        high = F.lit(55_296) + F.shiftright(above, 10)
-        low = F.lit(56_320) + above.bitwiseAND(F.lit(1_023))
-        one_unit = acc * 31 + point
-        two_units = (acc * 31 + high) * 31 + low
-        return F.pmod(F.when(point > 65_535, two_units).otherwise(one_unit), F.lit(TWO_32))
-
-    total = F.aggregate(F.split(text, ""), F.lit(0).cast("bigint"), step)
-    return F.when(total >= TWO_32 // 2, total - TWO_32).otherwise(total)
+    def step(acc: Column, unit: Column) -> Column:
+        return (acc * 31 + F.conv(unit, 16, 10).cast("bigint")) % TWO_32
+
+    def signed(total: Column) -> Column:
+        return F.when(total >= TWO_32 // 2, total - TWO_32).otherwise(total)
+
+    return F.aggregate(units, F.lit(0).cast("bigint"), step, signed)
 
 
 def hashed_cluster(cluster: Column) -> Column:

@@ -5,7 +5,7 @@ Layouts of an object path::
     v1  base/region/cluster/token/yyyyMMddHHmm/TYPE/[keyspace/table/]file
     v2  base/hash_cluster/token/TYPE/last_modified_ms/[keyspace/table/]compression/encryption/file
 
-Everything here is a narrow projection: no shuffle, one pass over the listing.
+Everything here is narrow: no shuffle, one pass over the listing.
 """
 
 from __future__ import annotations
@@ -82,8 +82,7 @@ def build_catalog(listing: DataFrame) -> DataFrame:
         F.when(v2 & ~F.col("compression").isin(COMPRESSIONS), "unknown_compression"),
         F.when(v2 & ~F.col("encryption").isin(ENCRYPTIONS), "unknown_encryption"),
     )
-    return named.select(
-        "remote_path",
+    row = F.struct(
         "base_dir",
         "region",
         "cluster",
@@ -96,11 +95,13 @@ def build_catalog(listing: DataFrame) -> DataFrame:
         "last_modified_ms",
         "compression",
         "encryption",
-        "size",
         v2.alias("is_v2"),
         data.alias("is_data"),
         error.alias("error"),
     )
+    # One generated row per object: a later filter on a parsed column then works on the
+    # parsed value, where a plain projection would be parsed once more inside the filter.
+    return named.select("remote_path", "size", F.inline(F.array(row)))
 
 
 def valid_rows(catalog: DataFrame) -> DataFrame:

@@ -98,10 +98,10 @@ def keep_last_days(status: DataFrame, order: str, days: int = STATUS_DAYS) -> Da
 def save_status(status: DataFrame, path: str) -> None:
     """Write the days the frame holds and leave all other days of the store as they are.
 
-    Rows are spread inside each day by token, so a day is many files rather than one task.
+    The range cut keeps a small day in one file and splits a large one over several tasks.
     """
     (
-        status.repartition("snapshot_date", "token")
+        status.repartitionByRange("snapshot_date", "token", "start_ms")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("snapshot_date")

@@ -26,20 +26,24 @@ def catalog_of(listing: DataFrame) -> DataFrame:
     return C.valid_rows(C.build_catalog(listing))
 
 
+@T.shared_plan
 def catalog_v1(spark: SparkSession, sf: str) -> DataFrame:
     return catalog_of(T.listing_v1(spark, sf))
 
 
+@T.shared_plan
 def catalog_v2(spark: SparkSession, sf: str) -> DataFrame:
     return catalog_of(T.listing_v2(spark, sf))
 
 
+@T.shared_plan
 def verdicts(spark: SparkSession, sf: str) -> DataFrame:
     listing = T.listing_v2(spark, sf)
     found = verify.manifests_in_catalog(catalog_of(listing))
     return verify.verify_manifest_v2(found, T.entries(spark, sf), listing)
 
 
+@T.shared_plan
 def run_records(spark: SparkSession, sf: str) -> DataFrame:
     return S.status_fold(T.status_events(spark, sf))
 
@@ -208,6 +212,7 @@ def build_manifest_v1(spark, sf):
     return manifests.build_manifest_v1(T.entries_v1(spark, sf), V1_PER_PART)
 
 
+@T.shared_plan
 def documents_v2(spark: SparkSession, sf: str) -> DataFrame:
     return manifests.build_manifest_v2(T.entries(spark, sf), T.listing_v2(spark, sf), V2_PER_PART)
 
@@ -382,13 +387,6 @@ def status_fold(spark, sf):
     return run_records(spark, sf)
 
 
-@query("status_store", "run", "SELECT * FROM run")
-def status_store(spark, sf):
-    path = shared_dir(spark, "status")
-    S.save_status(run_records(spark, sf), path)
-    return S.load_status(spark, path)
-
-
 @query(
     "status_by_day",
     "run",
@@ -412,21 +410,29 @@ def snapshots_by_day(spark, sf):
     return S.snapshots_by_day(run_records(spark, sf))
 
 
-@query(
-    "keep_last_days",
-    "run",
-    """SELECT cluster, token, version, start_ms, snapshot_date FROM run JOIN (SELECT cluster, token, snapshot_date FROM (
-        SELECT cluster, token, snapshot_date, row_number() OVER (PARTITION BY cluster, token ORDER BY min(start_ms) DESC, snapshot_date DESC) AS rn
-        FROM run GROUP BY 1, 2, 3) WHERE rn <= 60) USING (cluster, token, snapshot_date)""",
-)
+KEPT_DAYS = """SELECT {columns} FROM run JOIN (SELECT cluster, token, snapshot_date FROM (
+    SELECT cluster, token, snapshot_date, row_number() OVER (PARTITION BY cluster, token ORDER BY min(start_ms) DESC, snapshot_date DESC) AS rn
+    FROM run GROUP BY 1, 2, 3) WHERE rn <= 60) USING (cluster, token, snapshot_date)"""
+
+
+@query("keep_last_days", "run", KEPT_DAYS.format(columns="cluster, token, version, start_ms, snapshot_date"))
 def keep_last_days(spark, sf):
     kept = S.keep_last_days(run_records(spark, sf), "start_ms")
     return kept.select("cluster", "token", "version", "start_ms", "snapshot_date")
 
 
+@query("status_store", "run", KEPT_DAYS.format(columns="run.*"))
+def status_store(spark, sf):
+    """The days a store keeps, written by day and read back."""
+    path = shared_dir(spark, "status")
+    S.save_status(S.keep_last_days(run_records(spark, sf), "start_ms"), path)
+    return S.load_status(spark, path)
+
+
 # --- retention ------------------------------------------------------------------------------
 
 
+@T.shared_plan
 def retention_of(spark: SparkSession, sf: str) -> DataFrame:
     catalog = catalog_v2(spark, sf)
     return retention.retention_plan(
