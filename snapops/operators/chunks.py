@@ -57,7 +57,7 @@ def chunk_md5(files: DataFrame, chunk_size: int = CHUNK_SIZE) -> DataFrame:
         start = (n * F.col("step") + 1).cast("int")
         length = F.when(F.col("size") >= chunk_size, F.col("step")).otherwise(F.col("size"))
         part = F.substring(F.col("content"), start, length.cast("int"))
-        return F.struct((n + 1).alias("part_no"), F.length(part).alias("part_size"), F.md5(part).alias("md5_hex"))
+        return F.struct((n + 1).alias("part_no"), F.length(part).cast("bigint").alias("part_size"), F.md5(part).alias("md5_hex"))
 
     numbers = F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))
     digests = sized.select("key", F.explode(F.transform(numbers, digest)).alias("d"))

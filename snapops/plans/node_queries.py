@@ -138,12 +138,13 @@ def orphan_candidates(spark, sf):
 
 @T.shared_plan
 def orphans_of(spark: SparkSession, sf: str) -> DataFrame:
-    snapshot = T.entries(spark, sf).select("cluster", "token", "keyspace", "column_family", "file_name")
+    latest = T.entries(spark, sf).filter(F.col("snapshot_ms") == AS_OF)
+    snapshot = latest.select("cluster", "token", "keyspace", "column_family", "file_name")
     return orphans.orphan_files(table_files(spark, sf), snapshot, AS_OF)
 
 
 ORPHANS = f"""(SELECT i.* FROM inv i WHERE kind = 2 AND last_modified_ms <= {AS_OF} - 5 * {DAY} AND NOT EXISTS (
-    SELECT 1 FROM ent e WHERE e.cluster = i.cluster AND e.token = i.token AND e.keyspace = i.keyspace
+    SELECT 1 FROM ent e WHERE e.snapshot_ms = {AS_OF} AND e.cluster = i.cluster AND e.token = i.token AND e.keyspace = i.keyspace
     AND e.column_family = i.column_family AND e.file_name = i.file_name))"""
 
 
@@ -247,7 +248,7 @@ NAME_HASH = T._sql_hash("s_name")
 def slots(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("s_suppkey")
     return T.table(spark, sf, "supplier").select(
-        key.alias("id"), (key % 13).alias("size"), (key * 7 % 11 - 1).alias("position"), F.col("s_name").alias("region")
+        key.alias("id"), (key % 13 * 10).alias("size"), (key * 7 % 11 - 1).alias("position"), F.col("s_name").alias("region")
     )
 
 
@@ -258,7 +259,7 @@ _BAD_SLOT = "CASE WHEN s_suppkey % 13 <= 0 THEN 'size' WHEN s_suppkey * 7 % 11 -
     "initial_token",
     "",
     f"""SELECT s_suppkey AS id, {_BAD_SLOT} AS error, CASE WHEN {_BAD_SLOT} IS NULL THEN
-        {RANDOM_TOKEN.format(size='greatest(s_suppkey % 13, 1)', position='greatest(s_suppkey * 7 % 11 - 1, 0)', offset=f'abs({NAME_HASH})')}::VARCHAR END AS token
+        {RANDOM_TOKEN.format(size='greatest(s_suppkey % 13 * 10, 1)', position='greatest(s_suppkey * 7 % 11 - 1, 0)', offset=f'abs({NAME_HASH})')}::VARCHAR END AS token
         FROM supplier""",
 )
 def initial_token(spark, sf):
@@ -269,7 +270,7 @@ def initial_token(spark, sf):
     "initial_token_murmur3",
     "",
     f"""SELECT s_suppkey AS id, {_BAD_SLOT} AS error, CASE WHEN {_BAD_SLOT} IS NULL THEN
-        (18446744073709551616::HUGEINT // greatest(s_suppkey % 13, 1)::HUGEINT * greatest(s_suppkey * 7 % 11 - 1, 0)::HUGEINT
+        (18446744073709551616::HUGEINT // greatest(s_suppkey % 13 * 10, 1)::HUGEINT * greatest(s_suppkey * 7 % 11 - 1, 0)::HUGEINT
         + abs({NAME_HASH})::HUGEINT - 9223372036854775808::HUGEINT)::VARCHAR END AS token FROM supplier""",
 )
 def initial_token_murmur3(spark, sf):
@@ -331,7 +332,7 @@ def new_token_slot(spark, sf):
     "double_ring",
     "ring",
     f"""WITH m AS (SELECT *, (id - region_offset) * 2 AS slot, count(*) OVER (PARTITION BY app, dc) * 2 AS n FROM
-            (SELECT app, dc, rack, instance_id, tok, region_offset, id + region_offset AS id FROM ring)),
+            (SELECT app, dc, rack, instance_id, tok, region_offset, row_number() OVER (PARTITION BY app, dc ORDER BY tok) - 1 + region_offset AS id FROM ring)),
         a AS (SELECT *, CASE WHEN slot + 3 > n THEN slot + 3 - n ELSE slot + 3 END AS s FROM m)
         SELECT app, dc, slot + region_offset AS id, instance_id, rack, tok::VARCHAR AS token FROM m
         UNION ALL SELECT app, dc, s + region_offset, 'new_slot', rack, {RANDOM_TOKEN.format(size='n', position='s', offset='region_offset')}::VARCHAR FROM a""",
@@ -339,7 +340,8 @@ def new_token_slot(spark, sf):
 def double_ring(spark, sf):
     from snapops.functions.text import region_offset
 
-    registered = T.ring(spark, sf).withColumn("id", F.col("id") + region_offset(F.col("dc")))
+    placed = nearest.ring_position(T.ring(spark, sf), ["app", "dc"])
+    registered = placed.withColumn("id", F.col("position") + region_offset(F.col("dc")))
     return R.double_ring(registered)
 
 

@@ -294,8 +294,11 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shared_plan
 def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run events; several orders share a run, so there is something to fold."""
-    orders = table(spark, sf_dir, "orders")
+    return status_rows(table(spark, sf_dir, "orders"))
+
+
+def status_rows(orders: DataFrame) -> DataFrame:
+    """Run events, as a batch or as a stream; several orders share a run, so there is work to fold."""
     start = ms("o_orderdate")
     status = F.when(F.col("o_orderstatus") == "F", "FINISHED").when(F.col("o_orderstatus") == "O", "STARTED").otherwise("FAILED")
     quarter = F.unix_millis(F.date_trunc("quarter", F.col("o_orderdate").cast("timestamp")))

@@ -18,7 +18,6 @@ from snapops.operators.health import health_status
 from snapops.operators.notify import upload_notifications
 from snapops.operators.pacing import UNLIMITED, replay, wanted_rates
 from snapops.operators.status import status_fold
-from snapops.operators.transfer import transfer_metrics
 from snapops.operators.uploads import upload_todo
 
 DEDUP_DELAY = f"{SLO_HOURS} hours"
@@ -122,11 +121,6 @@ def stream_metrics(events: DataFrame, path: str, size: str = "10 minutes", delay
     run_available(windowed_metrics(events, size, delay), path, "update")
 
 
-def running_metrics(events: DataFrame, path: str) -> None:
-    """Counters since the start, without windows."""
-    run_available(transfer_metrics(events), path, "update")
-
-
 def paced_stream(transfers: DataFrame, threshold: float = RATE_CHANGE_THRESHOLD) -> DataFrame:
     """Kept rate of each node, carried from batch to batch as one number of state."""
     schema = "node string, ts_ms bigint, seq bigint, wanted_rate double, kept_rate double"
