@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapops.constants import COMPRESSIONS, DATA_TYPES, ENCRYPTIONS, FILE_TYPES, SECOND_MS, V2_TYPES
-from snapops.functions.text import floor_to, hashed_cluster, instant_ms, minute_text
+from snapops.functions.text import computed_once, floor_to, hashed_cluster, instant_ms, minute_text
 
 
 def first_type_in(path: Column) -> Column:
@@ -41,7 +41,7 @@ def build_catalog(listing: DataFrame) -> DataFrame:
     path = F.trim(F.col("remote_path"), F.lit("/"))
     parts = listing.withColumns(
         {
-            "parts": F.split(path, "/+"),
+            "parts": F.when(path.contains("//"), F.split(path, "/+")).otherwise(F.split(path, "/")),
             "v2": is_v2(first_type_in(F.col("remote_path"))),
         }
     )
@@ -82,26 +82,28 @@ def build_catalog(listing: DataFrame) -> DataFrame:
         F.when(v2 & ~F.col("compression").isin(COMPRESSIONS), "unknown_compression"),
         F.when(v2 & ~F.col("encryption").isin(ENCRYPTIONS), "unknown_encryption"),
     )
-    row = F.struct(
-        "base_dir",
-        "region",
-        "cluster",
-        "token",
-        "file_type",
-        "keyspace",
-        "column_family",
-        "file_name",
-        "time_ms",
-        "last_modified_ms",
-        "compression",
-        "encryption",
-        v2.alias("is_v2"),
-        data.alias("is_data"),
-        error.alias("error"),
+    return computed_once(
+        named,
+        [
+            "remote_path",
+            "base_dir",
+            "region",
+            "cluster",
+            "token",
+            "file_type",
+            "keyspace",
+            "column_family",
+            "file_name",
+            "time_ms",
+            "last_modified_ms",
+            "compression",
+            "encryption",
+            "size",
+            v2.alias("is_v2"),
+            data.alias("is_data"),
+            error.alias("error"),
+        ],
     )
-    # One generated row per object: a later filter on a parsed column then works on the
-    # parsed value, where a plain projection would be parsed once more inside the filter.
-    return named.select("remote_path", "size", F.inline(F.array(row)))
 
 
 def valid_rows(catalog: DataFrame) -> DataFrame:

@@ -147,7 +147,9 @@ def incrementals_v1(catalog: DataFrame, span: DateRange) -> DataFrame:
 
 
 def is_temporary(file_name: Column) -> Column:
-    return file_name.endswith(TMP_SUFFIX) | file_name.rlike(TMP_LINK_PATTERN)
+    # every name the pattern matches contains "tmp", which is cheaper to look for
+    link = file_name.contains("tmp") & file_name.rlike(TMP_LINK_PATTERN)
+    return file_name.endswith(TMP_SUFFIX) | link
 
 
 def orphan_candidates(

@@ -11,16 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapops.functions.text import minute_text, part_of
+from snapops.functions.text import before_last, minute_text, part_of
 
 NODE_SNAPSHOT = ["cluster", "token", "snapshot_ms"]
 
 
 def sstable_prefix(file_name: Column) -> Column:
     """Name before the last dash; the table's own manifest file counts as ``manifest``."""
-    return F.when(
-        file_name.contains("-"), F.regexp_extract(file_name, r"^(.*)-[^-]*$", 1)
-    ).when(F.lower(file_name) == "manifest.json", F.lit("manifest"))
+    table_manifest = F.when(F.lower(file_name) == "manifest.json", "manifest")
+    return F.coalesce(before_last(file_name, "-"), table_manifest)
 
 
 def mark_uploaded(files: DataFrame, listing: DataFrame, path: str = "backup_path") -> DataFrame:

@@ -12,7 +12,7 @@ from snapops.constants import (
     MINUTE_MS,
     SLO_HOURS,
 )
-from snapops.functions.text import instant_ms
+from snapops.functions.text import before_last, instant_ms
 from snapops.operators.catalog import is_data, is_v2, remote_path
 from snapops.operators.manifests import sstable_prefix
 from snapops.sources.listing import scan_data_dir
@@ -64,11 +64,9 @@ def compression_choice(
     """
     if setting not in ("NONE", "ALL", "IF_REQUIRED"):
         raise ValueError(f"NONE, ALL or IF_REQUIRED expected, got {setting!r}")
-    folder = F.regexp_extract("local_path", r"^(.*)/[^/]*$", 1)
+    folder = before_last(F.col("local_path"), "/")
     # unlike a manifest prefix, a name without a dash has none here
-    prefix = F.when(
-        F.col("file_name").contains("-"), F.regexp_extract("file_name", r"^(.*)-[^-]*$", 1)
-    )
+    prefix = before_last(F.col("file_name"), "-")
     always = ~is_v2(F.col("file_type")) | (F.col("last_modified_ms") < transition_ms)
     if setting != "IF_REQUIRED":
         codec = "NONE" if setting == "NONE" else "SNAPPY"

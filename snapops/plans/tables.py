@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapops.functions.text import hashed_cluster, minute_text, region_offset
+from snapops.functions.text import computed_once, hashed_cluster, minute_text, region_offset
 from snapops.functions.tokens import slot_token
 from snapops.session import use_utc
 
@@ -282,13 +282,16 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit(""))
     )
     path = F.concat(F.lit("/data/"), "keyspace", F.lit("/"), table_dir, folder, F.lit("/"), "file_name")
-    return base.select(
-        "cluster",
-        "token",
-        F.lit("us-east-1").alias("region"),
-        path.alias("local_path"),
-        "size",
-        F.col("last_modified_ms").alias("modified_ms"),
+    return computed_once(
+        base,
+        [
+            "cluster",
+            "token",
+            F.lit("us-east-1").alias("region"),
+            path.alias("local_path"),
+            "size",
+            F.col("last_modified_ms").alias("modified_ms"),
+        ],
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snapops.functions.text import computed_once
 from snapops.schemas import LISTING
 
 
@@ -53,16 +54,19 @@ def scan_data_dir(inventory: DataFrame, data_dir: str, folder: str | None = None
     parts = F.col("parts")
     sub = _part(parts, 2)
     in_folder = (F.size(parts) > 3) & sub.isin("snapshots", "backups")
-    files = files.filter(F.size(parts) >= 3).withColumns(
-        {
-            "keyspace": _part(parts, 0),
-            "table_dir": _part(parts, 1),
-            "column_family": F.substring_index(_part(parts, 1), "-", 1),
-            "folder": F.when(in_folder, sub),
-            "snapshot_name": F.when(in_folder & (sub == "snapshots"), _part(parts, 3)),
-            "file_name": F.element_at(parts, -1),
-        }
-    )
+    files = computed_once(
+        files,
+        [
+            *inventory.columns,
+            F.size(parts).alias("depth"),
+            _part(parts, 0).alias("keyspace"),
+            _part(parts, 1).alias("table_dir"),
+            F.substring_index(_part(parts, 1), "-", 1).alias("column_family"),
+            F.when(in_folder, sub).alias("folder"),
+            F.when(in_folder & (sub == "snapshots"), _part(parts, 3)).alias("snapshot_name"),
+            F.element_at(parts, -1).alias("file_name"),
+        ],
+    ).filter(F.col("depth") >= 3)
     if folder is not None:
         files = files.filter(F.col("folder") == folder)
-    return files.drop("parts")
+    return files.drop("depth")
