@@ -486,8 +486,6 @@ def lifecycle_rule_plan(spark, sf):
 
 # --- restore --------------------------------------------------------------------------------
 
-LATER_END = 886_291_200_000  # 31 days after the end of the span
-
 
 @query(
     "restore_plan",

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapops.functions.tokens import MURMUR3
+from snapops.functions.text import region_offset
+from snapops.functions.tokens import MURMUR3, slot_token
 from snapops.operators import admin, chunks, filters, gossip, health, nearest, notify, orphans, pacing, transfer, uploads
 from snapops.operators import ring as R
 from snapops.operators import settings as V
+from snapops.operators.status import finished_runs
 from snapops.plans import tables as T
-from snapops.plans.catalog_queries import AS_OF, FINISHED, SPAN, catalog_v2, run_records, verdicts
+from snapops.plans.catalog_queries import AS_OF, FINISHED, SPAN, catalog_v2, run_records
 from snapops.plans.registry import query
 from snapops.plans.tables import sql_minute
 from snapops.sources import gossip_dump, registry
 from snapops.sources import listing as L
 from snapops.sources import settings as sources
-from snapops.operators.status import finished_runs
 
 DAY = T.DAY
 
@@ -289,8 +290,6 @@ def initial_token_murmur3(spark, sf):
         FROM q LEFT JOIN lo USING (app, id) LEFT JOIN hi USING (app, id)""",
 )
 def closest_token(spark, sf):
-    from snapops.functions.tokens import slot_token
-
     key = F.col("c_custkey")
     wanted = T.table(spark, sf, "customer").select(
         F.concat(F.lit("app"), T.text(key % 3)).alias("app"),
@@ -338,8 +337,6 @@ def new_token_slot(spark, sf):
         UNION ALL SELECT app, dc, s + region_offset, 'new_slot', rack, {RANDOM_TOKEN.format(size='n', position='s', offset='region_offset')}::VARCHAR FROM a""",
 )
 def double_ring(spark, sf):
-    from snapops.functions.text import region_offset
-
     placed = nearest.ring_position(T.ring(spark, sf), ["app", "dc"])
     registered = placed.withColumn("id", F.col("position") + region_offset(F.col("dc")))
     return R.double_ring(registered)

@@ -18,8 +18,8 @@ def listing(spark, paths):
 
 
 PATHS = {
-    f"casstestbackup/{H}/1808575600/SST_V2/1542145086000/ks/cf/SNAPPY/PLAINTEXT/mc-1-Data.db": None,
-    f"casstestbackup/{H}/1808575600/META_V2/1542145086000/SNAPPY/PLAINTEXT/meta_v2_201811132138.json": None,
+    f"testbackup/{H}/1808575600/SST_V2/1542145086000/ks/cf/SNAPPY/PLAINTEXT/mc-1-Data.db": None,
+    f"testbackup/{H}/1808575600/META_V2/1542145086000/SNAPPY/PLAINTEXT/meta_v2_201811132138.json": None,
     "base/us-east-1/app0/1808575600/201108082320/SST/ks/cf/f1.db": None,
     "base/us-east-1/app0/1808575600/201108082320/SNAP/ks/cf/f1.db": None,
     "base/us-east-1/app0/1808575600/201108082320/META/meta.json": None,
@@ -38,7 +38,7 @@ def test_paths_parse_and_round_trip(spark):
     rows = C.reencode_catalog(C.build_catalog(listing(spark, PATHS))).collect()
     assert {r.remote_path: r.error for r in rows} == PATHS
     assert all(r.round_trips for r in rows if r.error is None)
-    first = next(r for r in rows if r.remote_path.startswith("casstest") and r.file_type == "SST_V2")
+    first = next(r for r in rows if r.remote_path.startswith("testb") and r.file_type == "SST_V2")
     assert (first.cluster, first.token, first.keyspace, first.column_family) == ("app0", "1808575600", "ks", "cf")
     assert first.last_modified_ms == 1542145086000 and first.is_v2 and first.is_data
 

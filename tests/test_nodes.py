@@ -213,7 +213,7 @@ def test_settings(spark):
     zones = [("a", "p", "c1", "", 1), ("a", "p", "c2", None, 2), ("a", "q", "c", "", 3), ("a", "q", "r1", "here", 4), ("a", "q", "r2", "here", 5), ("a", "z", "no", "there", 6)]
     picked = sources.scan_config_region(spark.createDataFrame(zones, "app string, property string, value string, region string, seq int"), "here")
     assert {r.property: r.value for r in picked.collect()} == {"p": "c1", "q": "r2"}
-    assert sources.app_of_group("cass-east--1") == "cass" and sources.app_of_group("-x") == "-x"
+    assert sources.app_of_group("store-east--1") == "store" and sources.app_of_group("-x") == "-x"
 
 
 def test_health_rule(spark):
