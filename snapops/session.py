@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -35,11 +36,17 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where that is unset, as
-    in local tests, a temporary folder of this machine is used.
+    The cluster names that folder in ``spark.checkpoint.dir``. A local session, whose
+    executors are this process, may go without; any other session must set it.
     """
     base = spark.conf.get(CHECKPOINT_CONF, None)
     if not base:
-        base = tempfile.mkdtemp(prefix="snapops-")
-        spark.conf.set(CHECKPOINT_CONF, base)
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
+        base = _local_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="snapops-")
