@@ -104,14 +104,9 @@ def build_manifest_v2(
 
 
 def write_manifests(manifests: DataFrame, path: str) -> None:
-    """One line per part, in folders by snapshot minute."""
-    (
-        manifests.withColumn("snapshot", minute_text(F.col("snapshot_ms")))
-        .select("snapshot", F.col("document").alias("value"))
-        .write.partitionBy("snapshot")
-        .mode("overwrite")
-        .text(path)
-    )
+    """One line per part, in folders by manifest name; ``read_written_manifests`` reads them."""
+    rows = manifests.select("file_name", F.col("document").alias("value"))
+    rows.write.partitionBy("file_name").mode("overwrite").text(path)
 
 
 def snapshot_paths(entries: DataFrame, manifests: DataFrame) -> DataFrame:

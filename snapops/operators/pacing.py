@@ -1,26 +1,10 @@
-"""Upload rate of each node over time, with hysteresis.
-
-A new rate replaces the kept one only when it differs by more than a threshold, so every rate
-depends on all before it. To split a node's series over many tasks anyway, the ordered series
-is cut into chunks. A chunk maps the rate it starts with to the rate it ends with, and that
-map is a short list of intervals; the maps are then followed chunk by chunk, and each chunk is
-replayed from its true start.
-"""
+"""Upload rate each transfer asks for."""
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapops.constants import RATE_CHANGE_THRESHOLD
-from snapops.session import shared_dir
-
-UNLIMITED = math.inf
-OUTPUT = "node string, ts_ms bigint, seq bigint, wanted_rate double, kept_rate double, changed boolean"
-
 
 def wanted_rates(transfers: DataFrame) -> DataFrame:
     """Rate each transfer asks for; null where pacing does not apply.
@@ -39,122 +23,3 @@ def wanted_rates(transfers: DataFrame) -> DataFrame:
     )
     rate = F.when(applies, F.col("share").cast("double") / F.when(F.col("left") > 0, F.col("left")))
     return paced.withColumn("wanted_rate", rate).select("node", "ts_ms", "seq", "wanted_rate")
-
-
-def band(rate: float, threshold: float) -> tuple[float, float]:
-    """Kept rates that a new rate leaves as they are."""
-    high = rate / (1.0 - threshold) if threshold < 1.0 else UNLIMITED
-    return rate / (1.0 + threshold), high
-
-
-def replay(rates: list[float], kept: float, threshold: float) -> list[float]:
-    """Kept rate after each new rate."""
-    out = []
-    for rate in rates:
-        low, high = band(rate, threshold)
-        if kept < low or kept > high:
-            kept = rate
-        out.append(kept)
-    return out
-
-
-def chunk_map(rates: list[float], threshold: float) -> list[tuple[float, float, float | None]]:
-    """``(low, high, end)`` pieces; a start rate inside ``[low, high]`` ends as ``end`` or stays."""
-    ends: dict[int, float] = {}
-
-    def end_from(index: int) -> float:
-        passed = []
-        while index not in ends:
-            passed.append(index)
-            kept, at = rates[index], index + 1
-            while at < len(rates):
-                low, high = band(rates[at], threshold)
-                if kept < low or kept > high:
-                    break
-                at += 1
-            if at == len(rates):
-                ends[index] = kept
-            else:
-                index = at
-        for seen in passed:
-            ends[seen] = ends[index]
-        return ends[index]
-
-    pieces = []
-    low, high = 0.0, UNLIMITED
-    for index, rate in enumerate(rates):
-        band_low, band_high = band(rate, threshold)
-        if low < band_low:
-            top = min(high, math.nextafter(band_low, 0.0))
-            pieces.append((low, top, end_from(index)))
-            low = band_low
-        if low <= high and high > band_high:
-            bottom = max(low, math.nextafter(band_high, UNLIMITED))
-            pieces.append((bottom, high, end_from(index)))
-            high = band_high
-        if low > high:
-            break
-    if low <= high:
-        pieces.append((low, high, None))
-    return pieces
-
-
-def pacing_series(
-    transfers: DataFrame, threshold: float = RATE_CHANGE_THRESHOLD, chunks: int | None = None
-) -> DataFrame:
-    """Wanted and kept rate of every paced transfer, in time order per node.
-
-    ``chunks`` is the number of equal ranges the whole series is cut into. The cut is written
-    once to the shared folder, since a lost executor must not move it.
-    """
-    spark = transfers.sparkSession
-    chunks = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = wanted_rates(transfers).filter(F.col("wanted_rate").isNotNull())
-    path = shared_dir(spark, "pacing")
-    (
-        wanted.repartitionByRange(chunks, "node", "ts_ms", "seq")
-        .withColumn("chunk", F.spark_partition_id())
-        .write.parquet(path)
-    )
-    cut = spark.read.parquet(path)
-    order = ["ts_ms", "seq"]
-
-    def summarise(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rates = rows.sort_values(order)["wanted_rate"].tolist()
-        pieces = chunk_map(rates, threshold)
-        lows, highs, ends = zip(*pieces)
-        return pd.DataFrame(
-            {
-                "node": key[1],
-                "chunk": key[0],
-                "low": lows,
-                "high": highs,
-                "stays": [e is None for e in ends],
-                "end": [0.0 if e is None else e for e in ends],
-            }
-        )
-
-    def follow(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
-        kept, chunk_ids, starts = UNLIMITED, [], []
-        for chunk, own in pieces.groupby("chunk", sort=True):
-            chunk_ids.append(chunk)
-            starts.append(kept)
-            hit = own[(own["low"] <= kept) & (kept <= own["high"])].iloc[0]
-            kept = kept if hit["stays"] else hit["end"]
-        return pd.DataFrame({"node": key[0], "chunk": chunk_ids, "start_rate": starts})
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        start = rows["start_rate"].iloc[0]
-        kept = replay(rows["wanted_rate"].tolist(), start, threshold)
-        before = [start] + kept[:-1]
-        return rows.assign(kept_rate=kept, changed=[a != b for a, b in zip(before, kept)])[
-            ["node", "ts_ms", "seq", "wanted_rate", "kept_rate", "changed"]
-        ]
-
-    maps = cut.groupBy("chunk", "node").applyInPandas(
-        summarise, "node string, chunk int, low double, high double, stays boolean, end double"
-    )
-    starts = maps.groupBy("node").applyInPandas(follow, "node string, chunk int, start_rate double")
-    started = cut.join(starts, ["node", "chunk"])
-    return started.groupBy("chunk", "node").applyInPandas(run, OUTPUT)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapops.constants import MAX_COMMIT_LOGS
-from snapops.operators.catalog import build_catalog, restore_target
+from snapops.operators.catalog import build_catalog, rejected_rows, restore_target, valid_rows
 from snapops.operators.filters import filter_keyspace_table
 from snapops.operators.verify import latest_valid_manifest
 from snapops.ranges import DateRange
@@ -36,6 +36,13 @@ def keep_largest_n(values: DataFrame, column: str, n: int, group: list[str] | No
     return distinct.withColumn("rank", F.row_number().over(largest)).filter(F.col("rank") <= n).drop("rank")
 
 
+def unrestorable(entries: DataFrame, verdicts: DataFrame, span: DateRange, v2: bool = True) -> DataFrame:
+    """``(remote_path, error)`` of the chosen manifests' paths that no restore can place."""
+    chosen = latest_valid_manifest(verdicts, span, closed=v2).select("manifest_path")
+    listed = entries.join(chosen, "manifest_path", "left_semi")
+    return rejected_rows(build_catalog(listed.select(F.col("backup_path").alias("remote_path"), "size", F.lit(None).cast("bigint").alias("modified_ms"))))
+
+
 def restore_plan(
     catalog: DataFrame,
     entries: DataFrame,
@@ -55,7 +62,8 @@ def restore_plan(
     """Snapshot files, later incrementals and the last commit logs of every node.
 
     The snapshot is the newest valid manifest of the range. A file in both the snapshot and
-    the incrementals is listed twice, with its origin. ``racks(cluster, token, rack)`` and
+    the incrementals is listed twice, with its origin. Paths that do not parse are no rows of
+    the plan; ``unrestorable`` lists them. ``racks(cluster, token, rack)`` and
     ``backup_racks`` keep only nodes of those racks; an empty list keeps all.
     """
     chosen = latest_valid_manifest(verdicts, span, closed=v2)
@@ -68,7 +76,7 @@ def restore_plan(
         "size",
         F.lit(None).cast("bigint").alias("modified_ms"),
     )
-    plan = build_catalog(listed).withColumn("origin", F.lit("snapshot"))
+    plan = valid_rows(build_catalog(listed)).withColumn("origin", F.lit("snapshot"))
     starts = chosen.select(*NODE, "snapshot_ms")
     if incrementals:
         moment = F.col("last_modified_ms") if v2 else F.col("time_ms")

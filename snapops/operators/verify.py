@@ -33,10 +33,12 @@ def _verdicts(manifests: DataFrame, counts: DataFrame) -> DataFrame:
 def verify_manifest_v2(manifests: DataFrame, entries: DataFrame, listing: DataFrame) -> DataFrame:
     """Verdict per manifest of ``manifests(manifest_path, …, snapshot_ms, available)``.
 
-    Entries meet the listing in one join on the object path, a near-unique key; the counts
-    per manifest are combined before the second shuffle.
+    Entries of other manifests go first, so that only the asked ones meet the listing, in one
+    join on the object path, a near-unique key; the counts per manifest are combined before
+    the second shuffle.
     """
-    marked = mark_uploaded(entries.select("manifest_path", "backup_path"), listing)
+    asked = entries.join(manifests.select("manifest_path").distinct(), "manifest_path", "left_semi")
+    marked = mark_uploaded(asked.select("manifest_path", "backup_path"), listing)
     counts = marked.groupBy("manifest_path").agg(
         F.count_if("is_uploaded").alias("matched"),
         F.count_if(~F.col("is_uploaded")).alias("missing"),
@@ -154,13 +156,33 @@ def slo_breaches(
     )
 
 
-def manifests_in_catalog(catalog: DataFrame) -> DataFrame:
-    """Manifest objects of both layouts as the input of the verifications."""
+def manifests_in_catalog(catalog: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Manifest objects of both layouts as the input of the verifications.
+
+    ``documents(manifest_path, readable)``, as the readers give it, decides which are
+    available: one that is absent or could not be parsed is not. Without it all are.
+    """
     v1 = (F.col("file_type") == "META") & (F.lower("file_name") == MANIFEST_V1_NAME)
     found = catalog.filter((F.col("file_type") == "META_V2") | v1)
-    return found.select(
+    rows = found.select(
         *NODE,
         F.col("remote_path").alias("manifest_path"),
         F.coalesce("last_modified_ms", "time_ms").alias("snapshot_ms"),
-        F.lit(True).alias("available"),
     )
+    if documents is None:
+        return rows.withColumn("available", F.lit(True))
+    whole = documents.groupBy("manifest_path").agg(F.min("readable").alias("available"))
+    return rows.join(whole, "manifest_path", "left").select(*rows.columns, F.coalesce("available", F.lit(False)).alias("available"))
+
+
+def in_span(manifests: DataFrame, span: DateRange) -> DataFrame:
+    """Manifests of the range, both ends included; verify these when only the range is asked for."""
+    return manifests.filter(F.col("snapshot_ms").between(span.start_ms, span.end_ms))
+
+
+def of_runs(manifests: DataFrame, status: DataFrame, version: int, span: DateRange, force: bool = True) -> DataFrame:
+    """Manifests of the finished runs of the range; unless forced, of those not validated before."""
+    runs = finished_runs(status, version, span)
+    if not force:
+        runs = runs.filter(F.col("last_validated_ms").isNull())
+    return manifests.join(runs.select(F.col("location").alias("manifest_path")).distinct(), "manifest_path", "left_semi")

@@ -36,11 +36,22 @@ def catalog_v2(spark: SparkSession, sf: str) -> DataFrame:
     return catalog_of(T.listing_v2(spark, sf))
 
 
-@T.shared_plan
-def verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    listing = T.listing_v2(spark, sf)
-    found = verify.manifests_in_catalog(catalog_of(listing))
-    return verify.verify_manifest_v2(found, T.entries(spark, sf), listing)
+def manifests_v2(spark: SparkSession, sf: str) -> DataFrame:
+    return verify.manifests_in_catalog(catalog_v2(spark, sf))
+
+
+def verdicts(spark: SparkSession, sf: str, asked: DataFrame | None = None) -> DataFrame:
+    """Verdicts on the asked manifests, or on all."""
+    found = manifests_v2(spark, sf) if asked is None else asked
+    return verify.verify_manifest_v2(found, T.entries(spark, sf), T.listing_v2(spark, sf))
+
+
+def span_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    return verdicts(spark, sf, verify.in_span(manifests_v2(spark, sf), SPAN))
+
+
+def run_verdicts(spark: SparkSession, sf: str, span: DateRange) -> DataFrame:
+    return verdicts(spark, sf, verify.of_runs(manifests_v2(spark, sf), run_records(spark, sf), 2, span))
 
 
 @T.shared_plan
@@ -268,9 +279,9 @@ LATEST = f"""(SELECT cluster, token, max(snapshot_ms) AS snapshot_ms, arg_max(ma
         FROM ent e JOIN {LATEST} l ON e.manifest_path = l.manifest_path""",
 )
 def snapshot_files(spark, sf):
-    latest = verify.latest_valid_manifest(verdicts(spark, sf), SPAN)
+    latest = verify.latest_valid_manifest(span_verdicts(spark, sf), SPAN)
     paths = manifests.snapshot_paths(T.entries(spark, sf), latest)
-    return C.build_catalog(paths).select(*PATH, "keyspace", "column_family", "last_modified_ms")
+    return catalog_of(paths).select(*PATH, "keyspace", "column_family", "last_modified_ms")
 
 
 # --- verification ---------------------------------------------------------------------------
@@ -313,7 +324,7 @@ def verify_manifest_v1(spark, sf):
 
 @query("latest_valid_manifest", "verdict", f"SELECT * FROM {LATEST}")
 def latest_valid_manifest(spark, sf):
-    return verify.latest_valid_manifest(verdicts(spark, sf), SPAN)
+    return verify.latest_valid_manifest(span_verdicts(spark, sf), SPAN)
 
 
 FINISHED = f"SELECT * FROM run WHERE status = 'FINISHED' AND version = 2 AND start_ms BETWEEN {SPAN.start_ms} AND {SPAN.end_ms}"
@@ -335,7 +346,7 @@ CHECKED = f"""(SELECT r.*, files_in_manifest_only = 0 AS valid FROM ({FINISHED})
         FROM {CHECKED} WHERE valid OR last_validated_ms IS NOT NULL GROUP BY 1, 2""",
 )
 def verify_latest_backup(spark, sf):
-    return verify.verify_latest_backup(run_records(spark, sf), verdicts(spark, sf), 2, SPAN)
+    return verify.verify_latest_backup(run_records(spark, sf), run_verdicts(spark, sf, SPAN), 2, SPAN)
 
 
 @query(
@@ -345,7 +356,7 @@ def verify_latest_backup(spark, sf):
         FROM {CHECKED} WHERE valid GROUP BY 1, 2""",
 )
 def verify_latest_backup_forced(spark, sf):
-    latest = verify.verify_latest_backup(run_records(spark, sf), verdicts(spark, sf), 2, SPAN, force=True)
+    latest = verify.verify_latest_backup(run_records(spark, sf), run_verdicts(spark, sf, SPAN), 2, SPAN, force=True)
     return latest.select("cluster", "token", "start_ms", "location")
 
 
@@ -356,11 +367,12 @@ def verify_latest_backup_forced(spark, sf):
         FROM {CHECKED} WHERE valid OR last_validated_ms IS NOT NULL""",
 )
 def verify_backups_in_range(spark, sf):
-    found = verify.verify_backups_in_range(run_records(spark, sf), verdicts(spark, sf), 2, SPAN)
+    found = verify.verify_backups_in_range(run_records(spark, sf), run_verdicts(spark, sf, SPAN), 2, SPAN)
     return found.select("cluster", "token", "start_ms", "location", "valid", "newly_validated")
 
 
 SLO_AS_OF = 880_000_000_000
+SLO_SPAN = DateRange(SLO_AS_OF - T.DAY, SLO_AS_OF)
 
 
 @query(
@@ -376,7 +388,7 @@ SLO_AS_OF = 880_000_000_000
 )
 def slo_breaches(spark, sf):
     records = run_records(spark, sf)
-    return verify.slo_breaches(records, records, verdicts(spark, sf), 2, SLO_AS_OF)
+    return verify.slo_breaches(records, records, run_verdicts(spark, sf, SLO_SPAN), 2, SLO_AS_OF)
 
 
 # --- run records ----------------------------------------------------------------------------
@@ -446,16 +458,15 @@ _T = AS_OF - 365 * T.DAY
 @query(
     "retention_plan",
     "v2 man ent",
-    f"""SELECT v.cluster, v.token, file_type, remote_path, last_modified_ms FROM v2 v
-        WHERE ((file_type = 'META_V2' AND last_modified_ms BETWEEN {FEATURE_START} AND {_T} - 3600000)
-            OR (file_type = 'SST_V2' AND last_modified_ms <= {_T} - 5 * {T.DAY}
-                AND remote_path NOT IN (SELECT backup_path FROM ent JOIN
-                    (SELECT cluster, token, min(snapshot_ms) AS snapshot_ms FROM man WHERE snapshot_ms BETWEEN {_T} AND {AS_OF} GROUP BY 1, 2)
-                    USING (cluster, token, snapshot_ms))))
-        AND EXISTS (SELECT 1 FROM ent e JOIN
-            (SELECT cluster, token, min(snapshot_ms) AS snapshot_ms FROM man WHERE snapshot_ms BETWEEN {_T} AND {AS_OF} GROUP BY 1, 2) o
-            ON e.cluster = o.cluster AND e.token = o.token AND e.snapshot_ms = o.snapshot_ms
-            WHERE e.cluster = v.cluster AND e.token = v.token)""",
+    f"""WITH oldest AS MATERIALIZED (SELECT cluster, token, min(snapshot_ms) AS snapshot_ms FROM man WHERE snapshot_ms BETWEEN {_T} AND {AS_OF} GROUP BY 1, 2),
+        keep AS MATERIALIZED (SELECT cluster, token, backup_path FROM ent JOIN oldest USING (cluster, token, snapshot_ms)),
+        gone AS MATERIALIZED (SELECT cluster, token, file_type, remote_path, last_modified_ms FROM v2
+            WHERE file_type = 'SST_V2' AND last_modified_ms <= {_T} - 5 * {T.DAY}),
+        old AS MATERIALIZED (SELECT cluster, token, file_type, remote_path, last_modified_ms FROM v2
+            WHERE file_type = 'META_V2' AND last_modified_ms BETWEEN {FEATURE_START} AND {_T} - 3600000),
+        kept AS MATERIALIZED (SELECT DISTINCT backup_path AS remote_path FROM keep), guard AS MATERIALIZED (SELECT DISTINCT cluster, token FROM keep)
+        SELECT x.cluster, x.token, file_type, remote_path, last_modified_ms
+        FROM (SELECT * FROM old UNION ALL SELECT gone.* FROM gone ANTI JOIN kept USING (remote_path)) x SEMI JOIN guard USING (cluster, token)""",
 )
 def retention_plan(spark, sf):
     return retention_of(spark, sf)
@@ -500,7 +511,7 @@ def lifecycle_rule_plan(spark, sf):
 )
 def restore_plan(spark, sf):
     return restore.restore_plan(
-        catalog_v2(spark, sf), T.entries(spark, sf), verdicts(spark, sf), SPAN, exclude="ks6.*"
+        catalog_v2(spark, sf), T.entries(spark, sf), span_verdicts(spark, sf), SPAN, exclude="ks6.*"
     )
 
 

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from snapops.functions.text import region_offset
 from snapops.functions.tokens import MURMUR3, slot_token
-from snapops.operators import admin, chunks, filters, gossip, health, nearest, notify, orphans, pacing, transfer, uploads
+from snapops.operators import admin, chunks, filters, gossip, health, nearest, notify, orphans, pacing, transfer, uploads, verify
 from snapops.operators import ring as R
 from snapops.operators import settings as V
-from snapops.operators.status import finished_runs
 from snapops.plans import tables as T
-from snapops.plans.catalog_queries import AS_OF, FINISHED, SPAN, catalog_v2, run_records
+from snapops.plans.catalog_queries import AS_OF, CHECKED, SPAN, catalog_v2, run_records, run_verdicts
 from snapops.plans.registry import query
 from snapops.plans.tables import sql_minute
 from snapops.sources import gossip_dump, registry
@@ -783,13 +782,14 @@ def notify_sink(spark, sf):
 
 @query(
     "verified_notifications",
-    "run",
+    "run verdict",
     f"""SELECT location AS remote_path, '{{"s3bucketname":"store","s3clustername":"' || cluster || '","s3namespace":"' || location ||
         '","region":"us-east-1","rack":"r1","token":"' || token || '","backuptype":"SNAPSHOT_VERIFIED","snapshotInstant":' || start_ms || '}}' AS message
-        FROM ({FINISHED})""",
+        FROM {CHECKED} WHERE valid AND last_validated_ms IS NULL""",
 )
 def verified_notifications(spark, sf):
-    runs = finished_runs(run_records(spark, sf), 2, SPAN).select(
+    verified = verify.verify_backups_in_range(run_records(spark, sf), run_verdicts(spark, sf, SPAN), 2, SPAN)
+    runs = verified.filter("newly_validated").select(
         F.lit("store").alias("bucket"),
         "cluster",
         F.col("location").alias("remote_path"),
@@ -823,8 +823,3 @@ def paced_transfers(events: DataFrame) -> DataFrame:
 )
 def wanted_rates(spark, sf):
     return pacing.wanted_rates(paced_transfers(T.table(spark, sf, "events")))
-
-
-@query("pacing_series")
-def pacing_series(spark, sf):
-    return pacing.pacing_series(paced_transfers(T.table(spark, sf, "events")))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapops.plans.tables import with_tables
+from snapops.plans.tables import forget_plans, with_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -17,7 +17,11 @@ def query(name: str, tables: str = "", sql: str | None = None) -> Callable[[Quer
     """Register a query; ``sql`` gives the same columns over the named adapter tables."""
 
     def register(function: Query) -> Query:
-        QUERIES[name] = function
+        def fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+            forget_plans()
+            return function(spark, sf_dir)
+
+        QUERIES[name] = fresh
         if sql is not None:
             ORACLES[name] = with_tables(tables, sql)
         return function

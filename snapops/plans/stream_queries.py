@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from snapops.operators.health import FLAGS
 from snapops.plans import tables as T
-from snapops.plans.node_queries import HEALTH, paced_transfers
+from snapops.plans.node_queries import HEALTH
 from snapops.plans.registry import query
 from snapops.session import shared_dir, use_utc
 from snapops.streaming import streams
@@ -26,7 +26,7 @@ def source(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def stream_metrics(spark, sf):
     path = shared_dir(spark, "metrics")
     streams.stream_metrics(T.transfers(source(spark, sf, "events")), path)
-    return streams.read_latest(spark, path, ["window_ms", "node", "kind"])
+    return streams.read_metrics(spark, path)
 
 
 @query("stream_health", "fl", HEALTH)
@@ -107,10 +107,3 @@ def stream_notifications(spark, sf):
     )
     streams.stream_notifications(uploads, path, "SST_V2")
     return streams.read_appended(spark, path).select("remote_path", "message")
-
-
-@query("stream_pacing")
-def stream_pacing(spark, sf):
-    path = shared_dir(spark, "rates")
-    streams.stream_pacing(paced_transfers(source(spark, sf, "events")), path)
-    return streams.read_appended(spark, path)

@@ -35,8 +35,20 @@ SCHEMAS = {
 }
 
 
-# Plans are lazy, so queries of one session can share them instead of building them anew.
-shared_plan = lru_cache(maxsize=256)
+_shared: list = []
+
+
+def shared_plan(function):
+    """Frames are shared within one query: readers of one query list their files once."""
+    cached = lru_cache(maxsize=256)(function)
+    _shared.append(cached)
+    return cached
+
+
+def forget_plans() -> None:
+    """Called as a query starts, so that files added since the last one are read."""
+    for cached in _shared:
+        cached.cache_clear()
 
 
 @shared_plan
@@ -532,7 +544,7 @@ def with_tables(names: str, body: str) -> str:
 
     for name in names.split():
         add(name)
-    ctes = ",\n".join(f"{name} AS ({CTES[name]})" for name in wanted)
+    ctes = ",\n".join(f"{name} AS MATERIALIZED ({CTES[name]})" for name in wanted)
     body = body.strip()
     if not wanted:
         return body

@@ -6,23 +6,17 @@ are written per micro-batch under the batch number, so a repeated batch replaces
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapops.constants import RATE_CHANGE_THRESHOLD, SLO_HOURS
 from snapops.operators.filters import drop_empty_incrementals, filter_keyspace_table
 from snapops.operators.health import health_status
 from snapops.operators.notify import upload_notifications
-from snapops.operators.pacing import UNLIMITED, replay, wanted_rates
 from snapops.operators.status import status_fold
 from snapops.operators.uploads import upload_todo
 
-DEDUP_DELAY = f"{SLO_HOURS} hours"
-
-
 def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int = 1_000) -> DataFrame:
     """Parquet files that arrive in a folder, a bounded number per micro-batch."""
     return (
@@ -34,12 +28,12 @@ def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
 
 
 def run_available(
-    stream: DataFrame, path: str, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None
+    stream: DataFrame, path: str, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None
 ) -> None:
     """Process everything that is there now and stop; one folder per micro-batch below ``path``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = each(batch) if each else batch
+        out = each(batch, batch_id) if each else batch
         out.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
 
     query = (
@@ -64,26 +58,25 @@ def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return latest.select(*keys, "v.*")
 
 
-def new_incrementals(
-    files: DataFrame, include: str | None = None, exclude: str | None = None
-) -> DataFrame:
-    """Stream of incremental files, each once: no empty ones, no filtered tables.
+def stream_incrementals(
+    files: DataFrame, listing: DataFrame, path: str, include: str | None = None, exclude: str | None = None
+) -> None:
+    """Upload rows for new incremental files, each once: no empty ones, no filtered tables.
 
-    ``arrived`` bounds the memory of what was seen to the verification objective.
+    A file is new if neither the listing nor an earlier batch has its path, however late it
+    arrives; the earlier batches' rows are the memory, so nothing is forgotten.
     """
+    keys = ["cluster", "token", "remote_path"]
     wanted = filter_keyspace_table(drop_empty_incrementals(files), include, exclude)
-    return wanted.withWatermark("arrived", DEDUP_DELAY).dropDuplicatesWithinWatermark(
-        ["cluster", "token", "remote_path"]
-    )
 
+    def new(batch: DataFrame, batch_id: int) -> DataFrame:
+        rows = upload_todo(batch.dropDuplicates(keys), listing)
+        if batch_id == 0:
+            return rows
+        earlier = batch.sparkSession.read.parquet(f"{path}/rows").filter(F.col("batch") < batch_id)
+        return rows.join(earlier.select(*keys), keys, "left_anti").select(*rows.columns)
 
-def stream_incrementals(
-    files: DataFrame, listing: DataFrame, path: str, include: str | None = None, exclude: str | None = None
-) -> None:
-    """Upload rows for new incremental files that are not listed yet."""
-    run_available(
-        new_incrementals(files, include, exclude), path, each=lambda batch: upload_todo(batch, listing)
-    )
+    run_available(wanted, path, each=new)
 
 
 def stream_status(events: DataFrame, path: str) -> None:
@@ -100,12 +93,10 @@ def stream_health(flags: DataFrame, path: str) -> None:
     run_available(health_status(flags), path, "update")
 
 
-def windowed_metrics(events: DataFrame, size: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
-    """Transfer metrics per time window; late events beyond the delay are dropped."""
-    windows = F.window("ts", size)
-    timed = events.withWatermark("ts", delay)
+def windowed_metrics(events: DataFrame, size: str = "10 minutes") -> DataFrame:
+    """Transfer metrics per time window."""
     return (
-        timed.groupBy(windows.alias("w"), "node", "kind")
+        events.groupBy(F.window("ts", size).alias("w"), "node", "kind")
         .agg(
             F.count(F.lit(1)).alias("events"),
             F.sum("size").alias("total_size"),
@@ -117,26 +108,14 @@ def windowed_metrics(events: DataFrame, size: str = "10 minutes", delay: str = "
     )
 
 
-def stream_metrics(events: DataFrame, path: str, size: str = "10 minutes", delay: str = "1 hour") -> None:
-    run_available(windowed_metrics(events, size, delay), path, "update")
-
+def stream_metrics(events: DataFrame, path: str, size: str = "10 minutes") -> None:
+    """Partial metrics of each micro-batch; events count however late they are."""
+    run_available(events, path, each=lambda batch, _: windowed_metrics(batch, size))
 
-def paced_stream(transfers: DataFrame, threshold: float = RATE_CHANGE_THRESHOLD) -> DataFrame:
-    """Kept rate of each node, carried from batch to batch as one number of state."""
-    schema = "node string, ts_ms bigint, seq bigint, wanted_rate double, kept_rate double"
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        kept = state.get[0] if state.exists else UNLIMITED
-        rows = pd.concat(list(batches)).sort_values(["ts_ms", "seq"])
-        rates = replay(rows["wanted_rate"].tolist(), kept, threshold)
-        state.update((rates[-1],))
-        yield rows.assign(kept_rate=rates)[["node", "ts_ms", "seq", "wanted_rate", "kept_rate"]]
-
-    wanted = wanted_rates(transfers).filter(F.col("wanted_rate").isNotNull())
-    return wanted.groupBy("node").applyInPandasWithState(
-        step, schema, "kept double", "append", "NoTimeout"
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The metrics of all batches, their partial rows added up."""
+    parts = spark.read.parquet(f"{path}/rows").groupBy("window_ms", "node", "kind")
+    return parts.agg(
+        F.sum("events").alias("events"), F.sum("total_size").alias("total_size"), F.max("max_size").alias("max_size")
     )
-
-
-def stream_pacing(transfers: DataFrame, path: str, threshold: float = RATE_CHANGE_THRESHOLD) -> None:
-    run_available(paced_stream(transfers, threshold), path)

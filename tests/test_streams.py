@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from snapops.operators import health, pacing
+from snapops.operators import health
 from snapops.operators import status as S
 from snapops.streaming import streams
 
@@ -41,23 +41,25 @@ def test_streamed_runs_equal_the_batch(spark, tmp_path):
     assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
 
 
-def test_streamed_rates_equal_the_batch(spark, tmp_path):
-    transfers = spark.range(200).select(
-        (F.col("id") % 2).cast("string").alias("node"), (F.col("id") * 10).alias("ts_ms"), F.col("id").alias("seq"), F.lit(10**9).cast("bigint").alias("target_ms"),
-        F.lit(True).alias("in_snapshot"), (F.abs(F.hash("id")) % 100_000 + 50_000).cast("bigint").alias("total_bytes"), F.lit(2).alias("threads"),
+def test_metrics_count_every_event_in_any_file_order(spark, tmp_path):
+    events = spark.range(1000).select(
+        F.timestamp_seconds(F.lit(1_700_000_000) + (F.lit(999) - F.col("id")) * 120).alias("ts"), (F.col("id") % 3).cast("string").alias("node"),
+        F.lit("put").alias("kind"), (F.col("id") * 7 % 100).alias("size"), F.col("id").alias("seq"),
     )
-    arrive(transfers, tmp_path / "in", 3)
-    stream = streams.read_stream(spark, str(tmp_path / "in"), transfers.schema, files_per_batch=1)
-    streams.stream_pacing(stream, str(tmp_path / "out"))
-    found = {r.seq: r.kept_rate for r in streams.read_appended(spark, str(tmp_path / "out")).collect()}
-    assert found == {r.seq: r.kept_rate for r in pacing.pacing_series(transfers).collect()}
+    for pieces in (1, 4):
+        arrive(events, tmp_path / f"in{pieces}", pieces)
+        streams.stream_metrics(streams.read_stream(spark, str(tmp_path / f"in{pieces}"), events.schema, files_per_batch=1), str(tmp_path / f"out{pieces}"))
+        found = streams.read_metrics(spark, str(tmp_path / f"out{pieces}"))
+        assert found.agg(F.sum("events")).first()[0] == 1000
+        expected = streams.windowed_metrics(events)
+        assert sorted(found.select(*expected.columns).collect()) == sorted(expected.collect())
 
 
 def test_incrementals_once_and_only_new(spark, tmp_path):
     rows = [(i % 6, f"ks{i % 2}", 0 if i % 6 == 5 else 9, i) for i in range(18)]
     files = spark.createDataFrame(rows, "n int, keyspace string, size bigint, seq bigint").select(
         F.lit("c").alias("cluster"), F.lit("1").alias("token"), "keyspace", F.lit("cf").alias("column_family"), F.lit("SST_V2").alias("file_type"),
-        F.concat(F.lit("r/"), "n").alias("remote_path"), F.concat(F.lit("l/"), "n").alias("local_path"), "size", F.timestamp_seconds("seq").alias("arrived"), "seq",
+        F.concat(F.lit("r/"), "n").alias("remote_path"), F.concat(F.lit("l/"), "n").alias("local_path"), "size", F.timestamp_seconds(F.lit(10**7) - F.col("seq") * 10**6 % (10**7 - 1)).alias("arrived"), "seq",
     )
     arrive(files, tmp_path / "in", 3)
     known = spark.createDataFrame([("r/2",)], "remote_path string")
