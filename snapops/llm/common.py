@@ -13,6 +13,8 @@ from snapops.session import shared_dir
 
 #: A group is numbered in so many pieces, so that no task holds a whole group.
 PIECES = 4096
+#: Rows drawn by their hash for each row wanted, so that a draw falls short of it next to never.
+SPARE = 8
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -38,6 +40,21 @@ def numbered(df: DataFrame, group: str, order: list[Column], name: str) -> DataF
     return joined.select(*df.columns, (F.col(start) + F.col(at) - 1).cast("long").alias(name))
 
 
+def thinned(rows: DataFrame, keys: list[str], of: list[str], wanted: int) -> DataFrame:
+    """About ``8 * wanted`` rows of each group of ``keys``, those whose hash of ``of`` is low; smaller groups whole.
+
+    What is ranked later has that size whatever the input's, in one task a group. The groups
+    are few (labels, languages); rows with a null key go. Of rows that are equal in all of
+    ``of`` either all stay or none.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).collect()
+    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    shares = [(*r[:-1], SPARE * wanted / r[-1]) for r in sizes]
+    place = F.xxhash64(*of).cast("double") / 2.0**64 + 0.5
+    kept = rows.join(rows.sparkSession.createDataFrame(shares, f"{schema}, __share double"), keys)
+    return kept.where(place <= F.col("__share")).select(*rows.columns)
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """``(u, v)`` edges to ``(u, root)``: the smallest node each node other than a root reaches.
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from snapops.llm.common import thinned
+
 #: Labelled texts drawn for each label, those with the smallest hash of their id.
 SAMPLE = 3000
 #: A lexicon word is in this share of the toxic sample at least, and as much likelier there.
@@ -110,7 +112,7 @@ def drawn_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Da
     """
     label = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = label.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= sample).select("doc_id", "toxic")
+    few = thinned(label, ["toxic"], ["doc_id"], sample).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= sample).select("doc_id", "toxic")
     texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most 2 * sample rows of two numbers
     return texts.where("text IS NOT NULL").groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
