@@ -15,6 +15,8 @@ from snapops.session import shared_dir
 PIECES = 4096
 #: Rows drawn by their hash for each row wanted, so that a draw falls short of it next to never.
 SPARE = 8
+#: Groups a draw may have, which bounds the table of their shares that is broadcast.
+DRAWN_GROUPS = 65_536
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -43,15 +45,17 @@ def numbered(df: DataFrame, group: str, order: list[Column], name: str) -> DataF
 def thinned(rows: DataFrame, keys: list[str], of: list[str], wanted: int) -> DataFrame:
     """About ``8 * wanted`` rows of each group of ``keys``, those whose hash of ``of`` is low; smaller groups whole.
 
-    What is ranked later has that size whatever the input's, in one task a group. The groups
-    are few (labels, languages); rows with a null key go. Of rows that are equal in all of
-    ``of`` either all stay or none.
+    What is ranked later has that size whatever the input's, in one task a group. More than
+    65,536 groups (labels, languages) raise an error; rows with a null key go. Of rows that
+    are equal in all of ``of`` either all stay or none.
     """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).collect()
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).limit(DRAWN_GROUPS + 1).collect()
+    if len(sizes) > DRAWN_GROUPS:
+        raise ValueError(f"more than {DRAWN_GROUPS} values of {keys}")
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
     shares = [(*r[:-1], SPARE * wanted / r[-1]) for r in sizes]
     place = F.xxhash64(*of).cast("double") / 2.0**64 + 0.5
-    kept = rows.join(rows.sparkSession.createDataFrame(shares, f"{schema}, __share double"), keys)
+    kept = rows.join(F.broadcast(rows.sparkSession.createDataFrame(shares, f"{schema}, __share double")), keys)
     return kept.where(place <= F.col("__share")).select(*rows.columns)
 
 
