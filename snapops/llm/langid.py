@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from snapops.llm.common import thinned
+
 #: Labelled documents taken for each language, those with the smallest hash of their id.
 SAMPLE = 400
 #: Bytes of a dictionary, and of a piece.
@@ -41,12 +43,14 @@ def dictionaries(labelled: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
     each no more than 8 KB, which bounds what the driver receives. The most frequent language
     comes first.
     """
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.octet_length("text") > 8192, F.xxhash64("doc_id"), "doc_id")
+    taught = labelled.where("text IS NOT NULL AND lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
+    rows = taught.select(F.col("lang").cast("string").alias("lang"), "text", "doc_id", (F.octet_length("text") > 8192).alias("long"))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    drawn = rows.select("lang", "text", "doc_id").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= sample)
+    few = thinned(rows, ["lang", "long"], ["doc_id", "text"], sample).withColumn("text", F.substring("text", 1, 8192))
+    order = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id", "text"), "doc_id", "text")
+    drawn = few.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= sample)
     found: dict[str, list] = {}
-    for lang, n, text in drawn.select("lang", "__n", F.substring("text", 1, 8192)).collect():
+    for lang, n, text in drawn.select("lang", "__n", "text").collect():
         found.setdefault(lang, []).append((n, text))
     return {lang: reduced("\n".join(t for _, t in sorted(texts, reverse=True)))[-DICTIONARY:] for lang, texts in sorted(found.items(), key=lambda item: (-counts[item[0]], item[0]))}
 
