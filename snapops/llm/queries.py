@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapops.llm import chat, decontamination, exact_dedup, langid, mixing, near_dedup, shards, substrings, toxicity, warc
+from snapops.llm import chat, decontamination, exact_dedup, langid, mixing, near_dedup, quality_rules, shards, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,23 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     records = rows.unionByName(own).select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("record"))
     return chat.conversation_digests(chat.chat_formatted(records))
+
+
+@query(
+    rf"""
+    WITH t AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g') AS bare FROM t),
+    g AS (SELECT row_id, unnest(range(1, len(words) - 1)) AS i, words FROM w),
+    g3 AS MATERIALIZED (SELECT row_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM g),
+    r AS (SELECT row_id, i FROM (SELECT row_id, i, count(*) OVER (PARTITION BY row_id, g) AS n FROM g3) WHERE n > 1),
+    c AS (SELECT row_id, count(DISTINCT p) AS n FROM (SELECT row_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY row_id),
+    m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(bare)::BIGINT AS word_chars, len(regexp_extract_all(bare, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+    len(list_intersect(words, [{", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)}]))::BIGINT AS n_stop_words, length(regexp_replace(bare, '[^\p{{L}}]+', '', 'g'))::BIGINT AS n_letters, len(lines)::BIGINT AS n_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '^ *[•‣*·–-]')))::BIGINT AS n_bullet_lines, len(list_filter(lines, lambda x: regexp_matches(x, '(?:\.\.\.|…) *$')))::BIGINT AS n_cut_lines FROM w LEFT JOIN c USING (row_id)),
+    b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+    SELECT *, NOT (base_failed OR 100 * word_chars < 250 * n_words OR 100 * word_chars > 1200 * n_words OR 100 * n_symbols > 10 * n_words OR n_stop_words < 2 OR 100 * n_letters < 70 * word_chars
+    OR 100 * n_dup_lines > 50 * n_lines OR 100 * n_bullet_lines > 90 * n_lines OR 100 * n_cut_lines > 30 * n_lines) AS kept FROM b
+    """
+)
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents")).drop("failed")
