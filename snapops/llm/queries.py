@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapops.llm import chat, decontamination, exact_dedup, langid, mixing, near_dedup, quality_rules, shards, substrings, toxicity, warc
+from snapops.llm import chat, decontamination, exact_dedup, filter_audit, langid, mixing, near_dedup, quality_rules, shards, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +143,25 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).drop("failed")
+
+
+@query(
+    r"""
+    WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM t),
+    l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    f AS (SELECT part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] AS fails,
+    coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM w LEFT JOIN l USING (doc_id)),
+    m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY part, fails),
+    i AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+    o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+    s AS (SELECT o, step, o[step] AS own, o[:step - 1] AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+    x AS (SELECT m.*, s.*, fails[own] AS now, len(list_filter(before, lambda b: fails[b])) > 0 AS gone FROM m, s),
+    c AS (SELECT part, o, step, own, coalesce(sum(n) FILTER (WHERE NOT gone AND NOT now), 0) AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND now), 0) AS removed, coalesce(sum(n) FILTER (WHERE gone AND now), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE now AND len(list_filter(fails, lambda y: y)) = 1), 0) AS unique_fails, coalesce(sum(good) FILTER (WHERE NOT gone AND now), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE NOT gone AND now), 0) AS toxic_lost FROM x GROUP BY part, o, step, own)
+    SELECT part, array_to_string(list_transform(o, lambda y: 'ABCDE'[y]), '') AS filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM c
+    """
+)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
