@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapops.llm import chat, decontamination, exact_dedup, filter_audit, langid, mixing, near_dedup, quality_rules, shards, substrings, toxicity, warc
+from snapops.llm import chat, decontamination, exact_dedup, filter_audit, langid, mixing, near_dedup, prefix_trie, quality_rules, shards, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,6 +145,25 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).drop("failed")
 
 
+@query(
+    r"""
+    WITH t AS (SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_key, turn, strlen(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL),
+    o AS (SELECT conv_id, list(left(turn_key, 32) ORDER BY turn NULLS FIRST, turn_key) AS path, list(size ORDER BY turn NULLS FIRST, turn_key) AS sizes FROM t GROUP BY conv_id),
+    h AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i::INT, 1))::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda y, i: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)), 4294967295) % 9 AS h FROM o),
+    c AS (SELECT h.conv_id, list_concat(coalesce(b.path[:h.h], []), h.path[h.h + 1:]) AS path, list_concat(coalesce(b.sizes[:h.h], []), h.sizes[h.h + 1:]) AS sizes FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 5),
+    m AS (SELECT conv_id, len(path) AS n, d, array_to_string(path[:d], '') AS k, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM c)),
+    n AS MATERIALIZED (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256 FROM m GROUP BY k, d),
+    p AS (SELECT left(k, 32 * (d - 1)) AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+    j AS (SELECT n.*, parent.conv_id AS parent_conv_id, coalesce(p.n_children, 0) AS n_children FROM n LEFT JOIN p USING (k) LEFT JOIN n parent ON n.d > 0 AND parent.d = n.d - 1 AND parent.k = left(n.k, 32 * (n.d - 1))),
+    s AS (SELECT left(k, 32 * e) AS k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM j) GROUP BY 1)
+    SELECT conv_id, d::BIGINT AS depth, parent_conv_id, n_convs, n_children::BIGINT AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256 FROM j JOIN s USING (k)
+    """
+)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.with_borrowed_heads(prefix_trie.conversations(table(spark, sf_dir, "conversations"))))
+
+
 @query(
     r"""
     WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
