@@ -266,7 +266,9 @@ def prefix_trie(paths: DataFrame) -> DataFrame:
     depth = F.size("path").cast("long")
     own = F.struct(depth.alias("depth"), one.alias("n"), one.alias("ended"), zero.alias("children"), zero.alias("leaves"), zero.alias("saved"), F.col("conv_id").alias("least"), F.col("conv_id").alias("first_end"))
     turns = paths.agg(F.sum(depth + 1)).first()[0] or 0
-    rows = paths.select("path", "sizes", F.array(own).alias("adds")).repartitionByRange(max(1, -(-turns // TASK_TURNS)), "path").sortWithinPartitions("path")
+    # The id is part of the range, so that copies of one conversation spread over tasks.
+    rows = paths.select("path", "conv_id", "sizes", F.array(own).alias("adds")).repartitionByRange(max(1, -(-turns // TASK_TURNS)), "path", "conv_id")
+    rows = rows.sortWithinPartitions("path").drop("conv_id")
     done = [saved(rows.mapInArrow(_first_round(schema), f"{NODE}, {ROW}"), "trie-round")]
     while (tasks := done[-1].where("path IS NOT NULL").agg(F.max("task")).first()[0]) is not None:
         left = done[-1].where("path IS NOT NULL").select(F.expr(f"task div {FAN_IN}").alias("block"), "task", "side", "path", "sizes", "adds")
