@@ -5,16 +5,18 @@ Layouts of an object path::
     v1  base/region/cluster/token/yyyyMMddHHmm/TYPE/[keyspace/table/]file
     v2  base/hash_cluster/token/TYPE/last_modified_ms/[keyspace/table/]compression/encryption/file
 
-Everything here is narrow: no shuffle, one pass over the listing.
+Parsing is narrow: no shuffle, one pass over the listing. ``save_catalog`` shuffles once, so that
+every later job starts from typed columns and reads only the types and times it asks for.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapops.constants import COMPRESSIONS, DATA_TYPES, ENCRYPTIONS, FILE_TYPES, SECOND_MS, V2_TYPES
 from snapops.functions.text import computed_once, floor_to, hashed_cluster, instant_ms, minute_text
+from snapops.schemas import CATALOG
 
 
 def first_type_in(path: Column) -> Column:
@@ -205,16 +207,23 @@ def token_prefixes(listing: DataFrame, cluster_prefix: str | None = None) -> Dat
     )
 
 
-def save_catalog(catalog: DataFrame, path: str) -> None:
-    """Typed table partitioned by type, clustered by cluster and token inside each partition.
+def save_catalog(catalog: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
+    """Typed table in folders by layout and type, clustered by time inside each folder.
 
-    The range repartition splits a hot cluster over many files, and the time and token
-    statistics of those files let later filters skip most of them.
+    The range repartition cuts along layout, type, time and path, so a type with most of the
+    objects is spread over many files, each with a narrow time range in its statistics. A
+    later filter on type opens the folders of that type only, one on time the files of that
+    time.
     """
-    (
-        catalog.repartitionByRange("file_type", "cluster", "token", "last_modified_ms", "time_ms", "remote_path")
-        .sortWithinPartitions("file_type", "cluster", "token", "last_modified_ms", "time_ms")
-        .write.partitionBy("file_type")
-        .mode("overwrite")
-        .parquet(path)
-    )
+    order = ["is_v2", "file_type", F.coalesce("last_modified_ms", "time_ms"), "remote_path"]
+    rows = catalog.select(*_names(CATALOG)).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.write.option("maxRecordsPerFile", rows_per_file).partitionBy("is_v2", "file_type").parquet(path)
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """What ``save_catalog`` wrote; filters on layout, type and time prune folders and files."""
+    return spark.read.schema(CATALOG).parquet(path).select(*_names(CATALOG))
+
+
+def _names(schema: str) -> list[str]:
+    return [column.split()[0] for column in schema.split(", ")]

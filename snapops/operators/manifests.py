@@ -4,6 +4,9 @@ A node's manifest can list any number of files, so a document is written in part
 is a complete manifest of one node, snapshot and (v2) table that lists a bounded share of the
 files. Readers see the union of the parts. The number of parts comes from a count, and the
 part of a file from a digest of its name, so no group grows with the data.
+
+What was written is recorded beside the parts, and ``judge_manifests`` holds what is found
+against it: only a manifest with all its parts may vouch for a backup.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapops.functions.text import before_last, minute_text, part_of
+from snapops.sources.manifests import manifest_documents
 
 NODE_SNAPSHOT = ["cluster", "token", "snapshot_ms"]
 
@@ -30,27 +34,28 @@ def mark_uploaded(files: DataFrame, listing: DataFrame, path: str = "backup_path
     ).drop("listed")
 
 
-def _with_parts(counted: DataFrame, keys: list[str], name: Column, per_part: int) -> DataFrame:
-    sizes = counted.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / per_part).alias("n_parts"))
-    return counted.join(sizes, keys).withColumn("part_no", part_of(name, F.col("n_parts")))
+def _with_parts(counted: DataFrame, keys: list[str], name: Column, files: Column, per_part: int) -> DataFrame:
+    """Part numbers from a digest of the name and the number of rows of the keys.
+
+    The counts also add up the files, so both sides of the join need the same columns of
+    ``counted`` and read its one shuffle.
+    """
+    sizes = counted.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / per_part).alias("n_parts"), F.sum(files).alias("n_table_files"))
+    known = counted.join(sizes, keys).filter(F.col("n_table_files") > 0)
+    return known.withColumn("part_no", part_of(name, F.col("n_parts")))
 
 
 def build_manifest_v1(files: DataFrame, files_per_part: int = 10_000) -> DataFrame:
-    """``(cluster, token, snapshot_ms, part_no, document)``, a JSON array of object paths."""
-    parts = _with_parts(
-        files.select(*NODE_SNAPSHOT, "backup_path"),
-        NODE_SNAPSHOT,
-        F.col("backup_path"),
-        files_per_part,
-    )
+    """``(cluster, token, snapshot_ms, part_no, n_files, document)``, a JSON array of object paths."""
+    parts = _with_parts(files.select(*NODE_SNAPSHOT, "backup_path"), NODE_SNAPSHOT, F.col("backup_path"), F.lit(1), files_per_part)
     paths = F.sort_array(F.collect_list("backup_path"))
-    return parts.groupBy(*NODE_SNAPSHOT, "part_no").agg(F.to_json(paths).alias("document"))
+    return parts.groupBy(*NODE_SNAPSHOT, "part_no").agg(F.count(F.lit(1)).alias("n_files"), F.to_json(paths).alias("document"))
 
 
 def build_manifest_v2(
     files: DataFrame, listing: DataFrame, sstables_per_part: int = 2_000
 ) -> DataFrame:
-    """``(cluster, token, snapshot_ms, keyspace, column_family, part_no, file_name, document)``.
+    """``(cluster, token, snapshot_ms, keyspace, column_family, part_no, file_name, n_files, document)``.
 
     The components of one sstable, a handful by format, are grouped first; the sstables of a
     table are then spread over parts.
@@ -74,9 +79,10 @@ def build_manifest_v2(
         .groupBy(*table, "prefix")
         .agg(F.sort_array(F.collect_set(component)).alias("sstableComponents"))
     )
-    parts = _with_parts(sstables, table, F.col("prefix"), sstables_per_part)
+    components = F.size("sstableComponents").cast("bigint")
+    parts = _with_parts(sstables, table, F.col("prefix"), components, sstables_per_part)
     sstable = F.struct("prefix", "sstableComponents")
-    grouped = parts.groupBy(*table, "part_no").agg(F.sort_array(F.collect_list(sstable)).alias("sstables"))
+    grouped = parts.groupBy(*table, "part_no").agg(F.sum(components).alias("n_files"), F.sort_array(F.collect_list(sstable)).alias("sstables"))
     document = F.struct(
         F.struct(
             F.lit(1).cast("smallint").alias("version"),
@@ -99,14 +105,49 @@ def build_manifest_v2(
         "column_family",
         "part_no",
         F.concat(F.lit("meta_v2_"), minute_text(F.col("snapshot_ms")), F.lit(".json")).alias("file_name"),
+        "n_files",
         F.to_json(document).alias("document"),
     )
 
 
-def write_manifests(manifests: DataFrame, path: str) -> None:
-    """One line per part, in folders by manifest name; ``read_written_manifests`` reads them."""
-    rows = manifests.select("file_name", F.col("document").alias("value"))
-    rows.write.partitionBy("file_name").mode("overwrite").text(path)
+def _part_key(parts: DataFrame) -> list[str]:
+    return [c for c in ("keyspace", "column_family", "part_no") if c in parts.columns]
+
+
+def write_manifests(parts: DataFrame, snapshots: DataFrame, path: str) -> None:
+    """Documents below ``path/parts``, then one record per manifest below ``path/record``.
+
+    ``snapshots(cluster, token, snapshot_ms, manifest_path)`` are all that were taken, also
+    those without files. The record holds how many parts and files were written and is
+    counted from the written parts; it comes last, so a manifest whose writer died has none.
+    """
+    parts.write.parquet(f"{path}/parts")
+    there = parts.sparkSession.read.schema(parts.schema).parquet(f"{path}/parts")
+    written = there.groupBy(*NODE_SNAPSHOT).agg(F.count(F.lit(1)).alias("parts"), F.sum("n_files").alias("files"))
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(f"{c}_written") for c in ("parts", "files")]
+    record = snapshots.select(*NODE_SNAPSHOT, "manifest_path").distinct().join(written, NODE_SNAPSHOT, "left")
+    record.select(*NODE_SNAPSHOT, "manifest_path", *counts).write.parquet(f"{path}/record")
+
+
+def judge_manifests(parts: DataFrame, record: DataFrame) -> DataFrame:
+    """One verdict per recorded manifest: ``available`` if every part is there and could be read.
+
+    ``parts`` are the documents found, ``record`` what was written. A lost part, an unreadable
+    one and one that lists fewer files than were written all make the manifest unavailable;
+    a part found twice counts once. Documents without a record belong to no manifest.
+    """
+    key = [*NODE_SNAPSHOT, *_part_key(parts)]
+    read = manifest_documents(parts.select(*key, "document"), v2="keyspace" in key, key=key)
+    once = read.groupBy(*key).agg(F.min("readable").alias("readable"), F.max("n_entries").alias("n_entries"))
+    found = once.groupBy(*NODE_SNAPSHOT).agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("n_entries").alias("files"), F.min("readable").alias("readable")
+    )
+    joined = record.join(found, NODE_SNAPSHOT, "left")
+    parts_read, files_read = (F.coalesce(c, F.lit(0)).cast("bigint") for c in ("parts", "files"))
+    whole = (parts_read == F.col("parts_written")) & (files_read == F.col("files_written")) & F.coalesce("readable", F.lit(True))
+    return joined.select(
+        *NODE_SNAPSHOT, "manifest_path", "parts_written", parts_read.alias("parts_read"), "files_written", files_read.alias("files_read"), whole.alias("available")
+    )
 
 
 def snapshot_paths(entries: DataFrame, manifests: DataFrame) -> DataFrame:

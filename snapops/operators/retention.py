@@ -13,19 +13,20 @@ NODE = ["cluster", "token"]
 def retention_plan(
     catalog: DataFrame,
     entries: DataFrame,
+    judged: DataFrame,
     as_of_ms: int,
     retention_days: int,
     grace_days: int = COMPACTION_GRACE_DAYS,
     feature_start_ms: int = FEATURE_START_MS,
-    documents: DataFrame | None = None,
 ) -> DataFrame:
     """Objects to delete: ``(cluster, token, file_type, remote_path, last_modified_ms)``.
 
     Per node the oldest manifest inside the retention period is the keep set. A node without
     one, or whose keep set is empty, loses nothing. Otherwise manifests older than the period
     by an hour go, and table files older than the period and grace that the keep set lacks.
-    With ``documents(manifest_path, readable)`` a node loses nothing either if any part of its
-    keep manifest is absent or could not be read.
+    ``judged(manifest_path, available)``, as ``judge_manifests`` gives it, says which manifests
+    are whole: a node whose keep manifest lost a part, could not be read or is not judged at
+    all loses nothing either.
 
     Time filters apply before any join; the keep set and the candidates meet once, on the
     object path.
@@ -39,9 +40,8 @@ def retention_plan(
         .groupBy(*NODE)
         .agg(F.min_by("remote_path", F.struct("last_modified_ms", "remote_path")).alias("manifest_path"))
     )
-    if documents is not None:
-        whole = documents.groupBy("manifest_path").agg(F.min("readable").alias("readable")).filter("readable")
-        oldest = oldest.join(whole, "manifest_path", "left_semi")
+    whole = judged.groupBy("manifest_path").agg(F.min("available").alias("available")).filter("available")
+    oldest = oldest.join(whole, "manifest_path", "left_semi")
     keep = entries.join(oldest, [*NODE, "manifest_path"], "left_semi").select(*NODE, "backup_path")
     guard = keep.select(*NODE).distinct()
 

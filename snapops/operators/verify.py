@@ -30,15 +30,16 @@ def _verdicts(manifests: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def verify_manifest_v2(manifests: DataFrame, entries: DataFrame, listing: DataFrame) -> DataFrame:
+def verify_manifest_v2(manifests: DataFrame, entries: DataFrame, listing: DataFrame, asked: bool = False) -> DataFrame:
     """Verdict per manifest of ``manifests(manifest_path, …, snapshot_ms, available)``.
 
-    Entries of other manifests go first, so that only the asked ones meet the listing, in one
-    join on the object path, a near-unique key; the counts per manifest are combined before
-    the second shuffle.
+    Manifests and objects meet in one join on the object path, a near-unique key; the counts
+    per manifest are combined before the second shuffle. ``asked`` says that ``manifests`` are
+    a few of those in ``entries``: entries of the others then go before they meet the listing.
     """
-    asked = entries.join(manifests.select("manifest_path").distinct(), "manifest_path", "left_semi")
-    marked = mark_uploaded(asked.select("manifest_path", "backup_path"), listing)
+    if asked:
+        entries = entries.join(manifests.select("manifest_path").distinct(), "manifest_path", "left_semi")
+    marked = mark_uploaded(entries.select("manifest_path", "backup_path"), listing)
     counts = marked.groupBy("manifest_path").agg(
         F.count_if("is_uploaded").alias("matched"),
         F.count_if(~F.col("is_uploaded")).alias("missing"),
@@ -156,11 +157,11 @@ def slo_breaches(
     )
 
 
-def manifests_in_catalog(catalog: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+def manifests_in_catalog(catalog: DataFrame, judged: DataFrame) -> DataFrame:
     """Manifest objects of both layouts as the input of the verifications.
 
-    ``documents(manifest_path, readable)``, as the readers give it, decides which are
-    available: one that is absent or could not be parsed is not. Without it all are.
+    ``judged(manifest_path, available)``, as ``judge_manifests`` gives it, decides which are
+    available: one that nothing is known of, lost a part or could not be read is not.
     """
     v1 = (F.col("file_type") == "META") & (F.lower("file_name") == MANIFEST_V1_NAME)
     found = catalog.filter((F.col("file_type") == "META_V2") | v1)
@@ -169,9 +170,7 @@ def manifests_in_catalog(catalog: DataFrame, documents: DataFrame | None = None)
         F.col("remote_path").alias("manifest_path"),
         F.coalesce("last_modified_ms", "time_ms").alias("snapshot_ms"),
     )
-    if documents is None:
-        return rows.withColumn("available", F.lit(True))
-    whole = documents.groupBy("manifest_path").agg(F.min("readable").alias("available"))
+    whole = judged.groupBy("manifest_path").agg(F.min("available").alias("available"))
     return rows.join(whole, "manifest_path", "left").select(*rows.columns, F.coalesce("available", F.lit(False)).alias("available"))
 
 

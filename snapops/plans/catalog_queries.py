@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from snapops.operators import catalog as C
 from snapops.operators import filters, manifests, restore, retention, verify
 from snapops.operators import status as S
+from snapops.plans import stores
 from snapops.plans import tables as T
 from snapops.plans.registry import query
+from snapops.plans.stores import V1_PER_PART, V2_PER_PART, catalog_v1, catalog_v2
 from snapops.plans.tables import sql_day, sql_minute
 from snapops.ranges import DateRange
 from snapops.session import shared_dir
@@ -26,32 +28,29 @@ def catalog_of(listing: DataFrame) -> DataFrame:
     return C.valid_rows(C.build_catalog(listing))
 
 
-@T.shared_plan
-def catalog_v1(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog_of(T.listing_v1(spark, sf))
-
-
-@T.shared_plan
-def catalog_v2(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog_of(T.listing_v2(spark, sf))
+def manifests_v2(spark: SparkSession, sf: str) -> DataFrame:
+    return verify.manifests_in_catalog(catalog_v2(spark, sf), stores.judged_v2(spark, sf))
 
 
-def manifests_v2(spark: SparkSession, sf: str) -> DataFrame:
-    return verify.manifests_in_catalog(catalog_v2(spark, sf))
+def manifests_v1(spark: SparkSession, sf: str) -> DataFrame:
+    return verify.manifests_in_catalog(catalog_v1(spark, sf), stores.judged_v1(spark, sf))
 
 
-def verdicts(spark: SparkSession, sf: str, asked: DataFrame | None = None) -> DataFrame:
-    """Verdicts on the asked manifests, or on all."""
-    found = manifests_v2(spark, sf) if asked is None else asked
-    return verify.verify_manifest_v2(found, T.entries(spark, sf), T.listing_v2(spark, sf))
+def objects_v2(spark: SparkSession, sf: str) -> DataFrame:
+    """Every object the catalog lists."""
+    return catalog_v2(spark, sf).select("remote_path")
 
 
 def span_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    return verdicts(spark, sf, verify.in_span(manifests_v2(spark, sf), SPAN))
+    """Verdicts on the manifests of the span, whose entries are pruned by snapshot time."""
+    found, entries = (verify.in_span(rows, SPAN) for rows in (manifests_v2(spark, sf), stores.entries_v2(spark, sf)))
+    return verify.verify_manifest_v2(found, entries, objects_v2(spark, sf))
 
 
-def run_verdicts(spark: SparkSession, sf: str, span: DateRange) -> DataFrame:
-    return verdicts(spark, sf, verify.of_runs(manifests_v2(spark, sf), run_records(spark, sf), 2, span))
+def run_verdicts(spark: SparkSession, sf: str, span: DateRange, force: bool = True) -> DataFrame:
+    """Verdicts on the manifests the runs of a span wrote; unless forced, of the runs not validated before."""
+    found = verify.of_runs(manifests_v2(spark, sf), run_records(spark, sf), 2, span, force)
+    return verify.verify_manifest_v2(found, stores.entries_v2(spark, sf), objects_v2(spark, sf), asked=True)
 
 
 @T.shared_plan
@@ -68,7 +67,7 @@ def run_records(spark: SparkSession, sf: str) -> DataFrame:
 )
 def scan_listing(spark, sf):
     prefix = "backup/880_app1/3/SST_V2/"
-    return L.scan_listing(T.listing_v2(spark, sf), prefix, prefix + "9")
+    return L.scan_listing(stores.listing_v2(spark, sf), prefix, prefix + "9")
 
 
 @query(
@@ -207,15 +206,12 @@ def incrementals_v1(spark, sf):
 
 # --- manifests ------------------------------------------------------------------------------
 
-V2_PER_PART = 5
-V1_PER_PART = 100
-
 
 @query(
     "build_manifest_v1",
     "ent",
     f"""SELECT cluster, token, snapshot_ms, ('0x' || substr(md5(path_v1), 1, 7))::BIGINT % n_parts AS part_no,
-        '["' || string_agg(path_v1, '","' ORDER BY path_v1) || '"]' AS document
+        '["' || string_agg(path_v1, '","' ORDER BY path_v1) || '"]' AS document, count(*) AS n_files
         FROM ent JOIN (SELECT cluster, token, snapshot_ms, ceil(count(*) / {V1_PER_PART}.0)::BIGINT AS n_parts FROM ent GROUP BY 1, 2, 3)
         USING (cluster, token, snapshot_ms) GROUP BY 1, 2, 3, 4""",
 )
@@ -223,11 +219,6 @@ def build_manifest_v1(spark, sf):
     return manifests.build_manifest_v1(T.entries_v1(spark, sf), V1_PER_PART)
 
 
-@T.shared_plan
-def documents_v2(spark: SparkSession, sf: str) -> DataFrame:
-    return manifests.build_manifest_v2(T.entries(spark, sf), T.listing_v2(spark, sf), V2_PER_PART)
-
-
 COMPONENT = """'{"fileName":"' || file_name || '","lastModifiedTime":' || last_modified_ms || ',"fileCreationTime":' || last_modified_ms
     || ',"fileSizeOnDisk":' || size || ',"compression":"SNAPPY","encryption":"PLAINTEXT","isUploaded":'
     || (min_orderkey % 4001 <> 0)::VARCHAR || ',"backupPath":"' || backup_path || '"}'"""
@@ -240,47 +231,57 @@ PREFIX = "regexp_extract(file_name, '^(.*)-[^-]*$', 1)"
     f"""SELECT cluster, token, snapshot_ms, keyspace, column_family, part_no, 'meta_v2_' || {sql_minute('snapshot_ms')} || '.json' AS file_name,
         '{{"info":{{"version":1,"appName":"' || cluster || '","region":"us-east-1","rack":"r1","backupIdentifier":["' || token ||
         '"]}},"data":[{{"keyspaceName":"' || keyspace || '","columnfamilyName":"' || column_family || '","sstables":[' ||
-        string_agg('{{"prefix":"' || prefix || '","sstableComponents":[' || components || ']}}', ',' ORDER BY prefix) || ']}}]}}' AS document
+        string_agg('{{"prefix":"' || prefix || '","sstableComponents":[' || components || ']}}', ',' ORDER BY prefix) || ']}}]}}' AS document, sum(n_components)::BIGINT AS n_files
         FROM (SELECT s.*, ('0x' || substr(md5(prefix), 1, 7))::BIGINT % ceil(count(*) OVER
             (PARTITION BY cluster, token, snapshot_ms, keyspace, column_family) / {V2_PER_PART}.0)::BIGINT AS part_no
             FROM (SELECT cluster, token, snapshot_ms, keyspace, column_family, {PREFIX} AS prefix,
-                string_agg({COMPONENT}, ',' ORDER BY file_name, last_modified_ms, size) AS components FROM ent GROUP BY 1, 2, 3, 4, 5, 6) s)
+                string_agg({COMPONENT}, ',' ORDER BY file_name, last_modified_ms, size) AS components, count(*) AS n_components FROM ent GROUP BY 1, 2, 3, 4, 5, 6) s)
         GROUP BY 1, 2, 3, 4, 5, 6""",
 )
 def build_manifest_v2(spark, sf):
-    return documents_v2(spark, sf)
+    return manifests.build_manifest_v2(T.entries(spark, sf), T.listing_v2(spark, sf), V2_PER_PART)
+
+
+@query(
+    "judge_manifests",
+    "judged",
+    """SELECT cluster, token, snapshot_ms, manifest_path, files_written, files_read, files_read = files_written AS available FROM judged""",
+)
+def judge_manifests(spark, sf):
+    """Manifests written, damaged, read back and held against their record."""
+    return stores.judged_v2(spark, sf).drop("parts_written", "parts_read")
 
 
 @query(
     "read_manifest_v2",
-    "ent",
+    "ent_read",
     f"""SELECT snapshot_ms, cluster, token, keyspace, column_family, {PREFIX} AS prefix, file_name, last_modified_ms, size, 
-        min_orderkey % 4001 <> 0 AS is_uploaded, backup_path FROM ent""",
+        min_orderkey % 4001 <> 0 AS is_uploaded, backup_path FROM ent_read""",
 )
 def read_manifest_v2(spark, sf):
-    documents = documents_v2(spark, sf).select("snapshot_ms", "file_name", "document")
+    documents = stores.parts_v2(spark, sf).select("snapshot_ms", "file_name", "document")
     return M.read_manifest_v2(documents).drop("creation_ms", "compression", "encryption")
 
 
 @query("read_manifest_v1", "ent", "SELECT cluster, token, snapshot_ms, path_v1 AS backup_path FROM ent")
 def read_manifest_v1(spark, sf):
-    documents = manifests.build_manifest_v1(T.entries_v1(spark, sf), V1_PER_PART)
-    return M.read_manifest_v1(documents.drop("part_no"))
+    return stores.entries_v1(spark, sf).select("cluster", "token", "snapshot_ms", "backup_path")
 
 
 LATEST = f"""(SELECT cluster, token, max(snapshot_ms) AS snapshot_ms, arg_max(manifest_path, snapshot_ms) AS manifest_path FROM verdict
-    WHERE files_in_manifest_only = 0 AND snapshot_ms BETWEEN {SPAN.start_ms} AND {SPAN.end_ms} GROUP BY 1, 2)"""
+    WHERE valid AND snapshot_ms BETWEEN {SPAN.start_ms} AND {SPAN.end_ms} GROUP BY 1, 2)"""
 
 
 @query(
     "snapshot_files",
-    "ent verdict",
-    f"""SELECT e.cluster, e.token, 'SST_V2' AS file_type, backup_path AS remote_path, keyspace, column_family, last_modified_ms
-        FROM ent e JOIN {LATEST} l ON e.manifest_path = l.manifest_path""",
+    "verdict",
+    f"""WITH latest AS MATERIALIZED (SELECT manifest_path FROM {LATEST})
+        SELECT e.cluster, e.token, 'SST_V2' AS file_type, backup_path AS remote_path, keyspace, column_family, last_modified_ms
+        FROM ent_read e WHERE manifest_path IN (SELECT manifest_path FROM latest)""",
 )
 def snapshot_files(spark, sf):
     latest = verify.latest_valid_manifest(span_verdicts(spark, sf), SPAN)
-    paths = manifests.snapshot_paths(T.entries(spark, sf), latest)
+    paths = manifests.snapshot_paths(verify.in_span(stores.entries_v2(spark, sf), SPAN), latest)
     return catalog_of(paths).select(*PATH, "keyspace", "column_family", "last_modified_ms")
 
 
@@ -290,19 +291,19 @@ def snapshot_files(spark, sf):
 @query(
     "verify_manifest_v2",
     "verdict",
-    "SELECT cluster, token, snapshot_ms, manifest_path, files_matched, files_in_manifest_only, files_in_manifest_only = 0 AS valid FROM verdict",
+    "SELECT cluster, token, snapshot_ms, manifest_path, available, files_matched, files_in_manifest_only, valid FROM verdict",
 )
 def verify_manifest_v2(spark, sf):
-    return verdicts(spark, sf).drop("available")
+    return verify.verify_manifest_v2(manifests_v2(spark, sf), stores.entries_v2(spark, sf), objects_v2(spark, sf))
 
 
 @query(
     "missing_files",
-    "ent",
-    "SELECT manifest_path, backup_path FROM ent WHERE min_orderkey % 4001 = 0",
+    "ent_read",
+    "SELECT manifest_path, backup_path FROM ent_read WHERE min_orderkey % 4001 = 0",
 )
 def missing_files(spark, sf):
-    return verify.missing_files(T.entries(spark, sf), T.listing_v2(spark, sf))
+    return verify.missing_files(stores.entries_v2(spark, sf), objects_v2(spark, sf))
 
 
 @query(
@@ -316,10 +317,8 @@ def missing_files(spark, sf):
         ON m.cluster = e.cluster AND m.token = e.token AND m.snapshot_ms = e.snapshot_ms GROUP BY 1, 2, 3, 4""",
 )
 def verify_manifest_v1(spark, sf):
-    catalog = catalog_v1(spark, sf)
-    found = verify.manifests_in_catalog(catalog)
-    once = T.entries_v1(spark, sf).dropDuplicates(["manifest_path", "backup_path"])
-    return verify.verify_manifest_v1(found, once, catalog).drop("available")
+    once = stores.entries_v1(spark, sf).dropDuplicates(["manifest_path", "backup_path"])
+    return verify.verify_manifest_v1(manifests_v1(spark, sf), once, catalog_v1(spark, sf)).drop("available")
 
 
 @query("latest_valid_manifest", "verdict", f"SELECT * FROM {LATEST}")
@@ -335,7 +334,7 @@ def latest_backup_metadata(spark, sf):
     return S.latest_backup_metadata(run_records(spark, sf), 2, SPAN)
 
 
-CHECKED = f"""(SELECT r.*, files_in_manifest_only = 0 AS valid FROM ({FINISHED}) r JOIN verdict v ON r.location = v.manifest_path)"""
+CHECKED = f"""(SELECT r.*, v.valid FROM ({FINISHED}) r JOIN verdict v ON r.location = v.manifest_path)"""
 
 
 @query(
@@ -363,12 +362,13 @@ def verify_latest_backup_forced(spark, sf):
 @query(
     "verify_backups_in_range",
     "run verdict",
-    f"""SELECT cluster, token, start_ms, location, valid, last_validated_ms IS NULL AS newly_validated
+    f"""SELECT cluster, token, start_ms, location, last_validated_ms IS NULL AS newly_validated
         FROM {CHECKED} WHERE valid OR last_validated_ms IS NOT NULL""",
 )
 def verify_backups_in_range(spark, sf):
-    found = verify.verify_backups_in_range(run_records(spark, sf), run_verdicts(spark, sf, SPAN), 2, SPAN)
-    return found.select("cluster", "token", "start_ms", "location", "valid", "newly_validated")
+    """Runs validated before are trusted, so only the manifests of the others are looked at."""
+    found = verify.verify_backups_in_range(run_records(spark, sf), run_verdicts(spark, sf, SPAN, force=False), 2, SPAN)
+    return found.select("cluster", "token", "start_ms", "location", "newly_validated")
 
 
 SLO_AS_OF = 880_000_000_000
@@ -381,14 +381,14 @@ SLO_SPAN = DateRange(SLO_AS_OF - T.DAY, SLO_AS_OF)
     f"""SELECT n.cluster, n.token, count(r.start_ms) AS verified, count(r.start_ms) FILTER (last_validated_ms IS NULL) AS to_notify,
         count(r.start_ms) = 0 AS breached
         FROM (SELECT DISTINCT cluster, token FROM run) n LEFT JOIN (
-            SELECT r.*, files_in_manifest_only = 0 AS valid FROM run r JOIN verdict v ON r.location = v.manifest_path
+            SELECT r.* FROM run r JOIN verdict v ON r.location = v.manifest_path
             WHERE status = 'FINISHED' AND version = 2 AND start_ms BETWEEN {SLO_AS_OF} - 86400000 AND {SLO_AS_OF}
-            AND (files_in_manifest_only = 0 OR last_validated_ms IS NOT NULL)) r
+            AND (v.valid OR last_validated_ms IS NOT NULL)) r
         ON n.cluster = r.cluster AND n.token = r.token GROUP BY 1, 2""",
 )
 def slo_breaches(spark, sf):
     records = run_records(spark, sf)
-    return verify.slo_breaches(records, records, run_verdicts(spark, sf, SLO_SPAN), 2, SLO_AS_OF)
+    return verify.slo_breaches(records, records, run_verdicts(spark, sf, SLO_SPAN, force=False), 2, SLO_AS_OF)
 
 
 # --- run records ----------------------------------------------------------------------------
@@ -446,9 +446,8 @@ def status_store(spark, sf):
 
 @T.shared_plan
 def retention_of(spark: SparkSession, sf: str) -> DataFrame:
-    catalog = catalog_v2(spark, sf)
     return retention.retention_plan(
-        catalog, T.entries(spark, sf), AS_OF, retention_days=365, feature_start_ms=FEATURE_START
+        catalog_v2(spark, sf), stores.entries_v2(spark, sf), stores.judged_v2(spark, sf), AS_OF, retention_days=365, feature_start_ms=FEATURE_START
     )
 
 
@@ -457,9 +456,10 @@ _T = AS_OF - 365 * T.DAY
 
 @query(
     "retention_plan",
-    "v2 man ent",
+    "v2 verdict",
     f"""WITH oldest AS MATERIALIZED (SELECT cluster, token, min(snapshot_ms) AS snapshot_ms FROM man WHERE snapshot_ms BETWEEN {_T} AND {AS_OF} GROUP BY 1, 2),
-        keep AS MATERIALIZED (SELECT cluster, token, backup_path FROM ent JOIN oldest USING (cluster, token, snapshot_ms)),
+        keep AS MATERIALIZED (SELECT cluster, token, backup_path FROM ent_read JOIN oldest USING (cluster, token, snapshot_ms)
+            WHERE manifest_path IN (SELECT manifest_path FROM judged WHERE files_read = files_written)),
         gone AS MATERIALIZED (SELECT cluster, token, file_type, remote_path, last_modified_ms FROM v2
             WHERE file_type = 'SST_V2' AND last_modified_ms <= {_T} - 5 * {T.DAY}),
         old AS MATERIALIZED (SELECT cluster, token, file_type, remote_path, last_modified_ms FROM v2
@@ -500,18 +500,18 @@ def lifecycle_rule_plan(spark, sf):
 
 @query(
     "restore_plan",
-    "ent verdict v2",
+    "verdict v2",
     f"""SELECT cluster, token, origin, 'SST_V2' AS file_type, keyspace, column_family, remote_path,
         '/data/' || keyspace || '/' || column_family || '/' || file_name AS target FROM (
         SELECT e.cluster, e.token, 'snapshot' AS origin, keyspace, column_family, backup_path AS remote_path, file_name
-            FROM ent e JOIN {LATEST} l ON e.manifest_path = l.manifest_path
+            FROM ent_read e JOIN {LATEST} l ON e.manifest_path = l.manifest_path
         UNION ALL SELECT v.cluster, v.token, 'incremental', keyspace, column_family, remote_path, file_name
             FROM v2 v JOIN {LATEST} l ON v.cluster = l.cluster AND v.token = l.token AND v.last_modified_ms BETWEEN l.snapshot_ms AND {SPAN.end_ms}
             WHERE file_type = 'SST_V2') WHERE keyspace <> 'ks6'""",
 )
 def restore_plan(spark, sf):
     return restore.restore_plan(
-        catalog_v2(spark, sf), T.entries(spark, sf), span_verdicts(spark, sf), SPAN, exclude="ks6.*"
+        catalog_v2(spark, sf), verify.in_span(stores.entries_v2(spark, sf), SPAN), span_verdicts(spark, sf), SPAN, exclude="ks6.*"
     )
 
 
@@ -528,8 +528,8 @@ def restore_plan(spark, sf):
 )
 def restore_plan_v1(spark, sf):
     catalog = catalog_v1(spark, sf)
-    listed = T.entries_v1(spark, sf)
-    judged = verify.verify_manifest_v1(verify.manifests_in_catalog(catalog), listed, catalog)
+    listed = stores.entries_v1(spark, sf)
+    judged = verify.verify_manifest_v1(manifests_v1(spark, sf), listed, catalog)
     plan = restore.restore_plan(catalog, listed, judged, SPAN, commit_logs=10, v2=False)
     return plan.select("cluster", "token", "origin", "remote_path")
 

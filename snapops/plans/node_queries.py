@@ -788,7 +788,7 @@ def notify_sink(spark, sf):
         FROM {CHECKED} WHERE valid AND last_validated_ms IS NULL""",
 )
 def verified_notifications(spark, sf):
-    verified = verify.verify_backups_in_range(run_records(spark, sf), run_verdicts(spark, sf, SPAN), 2, SPAN)
+    verified = verify.verify_backups_in_range(run_records(spark, sf), run_verdicts(spark, sf, SPAN, force=False), 2, SPAN)
     runs = verified.filter("newly_validated").select(
         F.lit("store").alias("bucket"),
         "cluster",

@@ -451,11 +451,13 @@ CTES = {
         'backup/us-east-1/' || cluster || '/' || token || '/' || {sql_minute('snapshot_ms')} || '/META/meta.json' AS manifest_v1
         FROM (SELECT DISTINCT {_CLUSTER} AS cluster, {_TOKEN} AS token,
             epoch_ms(date_trunc('quarter', o_orderdate)) AS snapshot_ms FROM orders) m JOIN clusters USING (cluster)""",
+    "hurt": """SELECT manifest_path, (year(t) * 4 + quarter(t) + token::INT) % 13 AS hurt FROM (SELECT *, make_timestamp(snapshot_ms * 1000) AS t FROM man)""",
     "ent": f"""SELECT o.*, m.snapshot_ms, m.manifest_path, m.manifest_v1, o.path AS backup_path,
         'backup/us-east-1/' || o.cluster || '/' || o.token || '/' || {sql_minute('m.snapshot_ms')} || '/SNAP/' || keyspace
             || '/' || column_family || '/' || file_name AS path_v1
         FROM obj o JOIN man m ON o.cluster = m.cluster AND o.token = m.token
         AND o.last_modified_ms BETWEEN m.snapshot_ms - {YEAR} AND m.snapshot_ms WHERE l_partkey % 3 <> 0""",
+    "ent_read": """SELECT ent.* FROM ent JOIN hurt USING (manifest_path) WHERE NOT (hurt = 9 AND keyspace = 'ks3') AND NOT (hurt = 5 AND keyspace = 'ks1')""",
     "lst": "SELECT * FROM obj WHERE min_orderkey % 4001 <> 0",
     "v1": f"""SELECT cluster, token, 'SNAP' AS file_type, keyspace, column_family, file_name, snapshot_ms AS time_ms, path_v1 AS remote_path, size
         FROM ent WHERE min_orderkey % 4001 <> 0
@@ -484,10 +486,13 @@ CTES = {
         (arg_max({{'v': last_validated_ms}}, seq)).v AS last_validated_ms, any_value(manifest_path) AS location
         FROM ev e JOIN man m ON e.cluster = m.cluster AND e.token = m.token AND e.snapshot_ms = m.snapshot_ms
         GROUP BY 1, 2, 3, 4, 5""",
-    "verdict": """SELECT m.cluster, m.token, m.snapshot_ms, m.manifest_path,
-        count(e.path) FILTER (e.min_orderkey % 4001 <> 0) AS files_matched,
+    "judged": """SELECT m.cluster, m.token, m.snapshot_ms, m.manifest_path, count(e.path) AS files_written,
+        count(e.path) FILTER (NOT (hurt = 9 AND keyspace = 'ks3') AND NOT (hurt = 5 AND keyspace = 'ks1')) AS files_read
+        FROM man m JOIN hurt USING (manifest_path) LEFT JOIN ent e ON e.manifest_path = m.manifest_path GROUP BY 1, 2, 3, 4""",
+    "verdict": """SELECT *, available AND files_in_manifest_only = 0 AS valid FROM (SELECT m.cluster, m.token, m.snapshot_ms, m.manifest_path,
+        files_read = files_written AS available, count(e.path) FILTER (e.min_orderkey % 4001 <> 0) AS files_matched,
         count(e.path) FILTER (e.min_orderkey % 4001 = 0) AS files_in_manifest_only
-        FROM man m LEFT JOIN ent e ON e.manifest_path = m.manifest_path GROUP BY 1, 2, 3, 4""",
+        FROM judged m LEFT JOIN ent_read e ON e.manifest_path = m.manifest_path GROUP BY 1, 2, 3, 4, 5)""",
     "ring": f"""SELECT 'app' || (s_suppkey % 3) AS app, s_suppkey::BIGINT AS id,
         CASE WHEN s_suppkey % 17 = 0 THEN 'new_slot' ELSE 'i-' || s_suppkey END AS instance_id,
         'host-' || s_suppkey AS hostname, 'ip-' || s_suppkey AS ip, 'r' || (s_nationkey % 3) AS rack, lower(r_name) AS dc,
@@ -524,7 +529,10 @@ NEEDS = {
     "v2": ["lst", "man"],
     "inv": ["obj"],
     "run": ["ev", "man"],
-    "verdict": ["man", "ent"],
+    "hurt": ["man"],
+    "ent_read": ["ent", "hurt"],
+    "judged": ["man", "ent", "hurt"],
+    "verdict": ["judged", "ent_read"],
     "cons1": ["cons0"],
     "cons2": ["cons1"],
     "cons3": ["cons1", "cons2"],

@@ -17,6 +17,12 @@ def read_listing(spark: SparkSession, path: str, source: str = "parquet") -> Dat
     return reader.load(path)
 
 
+def save_listing(listing: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
+    """The listing clustered by key, so that a prefix and a marker prune files by their statistics."""
+    rows = listing.repartitionByRange("remote_path").sortWithinPartitions("remote_path")
+    rows.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+
+
 def read_file_tree(spark: SparkSession, root: str) -> DataFrame:
     """A listing of the files below a folder any Spark file system can reach.
 

@@ -23,29 +23,42 @@ def read_manifest_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def manifest_documents(manifests: DataFrame, v2: bool = True) -> DataFrame:
-    """``(manifest_path, readable, n_entries)``, one row per document.
+def manifest_documents(manifests: DataFrame, v2: bool = True, key: list[str] | None = None) -> DataFrame:
+    """``(manifest_path, readable, n_entries)``, one row per document; ``key`` names other columns to keep.
 
     A document is readable if it parses and, for v2, names its node and has data; an
     unreadable one has no entries, which must not pass for an empty backup.
     """
+    key = key or ["manifest_path"]
     if v2:
-        parsed = F.from_json("document", MANIFEST_V2_JSON)
-        rows = manifests.select("manifest_path", parsed.alias("m"))
+        rows = manifests.select(*key, F.from_json("document", MANIFEST_V2_JSON).alias("m"))
         readable = F.col("m.info.appName").isNotNull() & (F.size("m.info.backupIdentifier") > 0) & F.col("m.data").isNotNull()
         tables = F.flatten(F.transform("m.data", lambda f: f["sstables"]))
         entries = F.size(F.flatten(F.transform(tables, lambda s: s["sstableComponents"])))
     else:
-        rows = manifests.select("manifest_path", F.from_json("document", MANIFEST_V1_JSON).alias("m"))
+        rows = manifests.select(*key, F.from_json("document", MANIFEST_V1_JSON).alias("m"))
         readable, entries = F.col("m").isNotNull(), F.size("m")
     good = F.coalesce(readable, F.lit(False))
-    return rows.select("manifest_path", good.alias("readable"), F.when(good, F.greatest(entries, F.lit(0))).otherwise(0).cast("bigint").alias("n_entries"))
+    return rows.select(*key, good.alias("readable"), F.when(good, F.greatest(entries, F.lit(0))).otherwise(0).cast("bigint").alias("n_entries"))
 
 
-def read_written_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """What :func:`snapops.operators.manifests.write_manifests` wrote; one line is one document."""
-    rows = spark.read.schema("value string, file_name string").text(path)
-    return rows.select(F.col("_metadata.file_path").alias("manifest_path"), "file_name", F.col("value").alias("document"))
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Documents that :func:`snapops.operators.manifests.write_manifests` wrote."""
+    return spark.read.parquet(f"{path}/parts")
+
+
+def read_record(spark: SparkSession, path: str) -> DataFrame:
+    """How many parts and files each manifest was written with."""
+    return spark.read.parquet(f"{path}/record")
+
+
+def save_entries(entries: DataFrame, path: str) -> None:
+    """Manifest rows as typed columns, clustered by snapshot time and manifest.
+
+    A document is parsed once; later jobs read the columns and snapshots they ask for.
+    """
+    order = ["snapshot_ms", "manifest_path", "backup_path"]
+    entries.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
 
 
 def read_manifest_v2(manifests: DataFrame) -> DataFrame:

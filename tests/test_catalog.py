@@ -1,7 +1,10 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from snapops.constants import DAY_MS
+from snapops.constants import DAY_MS, HOUR_MS
 from snapops.operators import catalog as C
 from snapops.operators import filters, orphans, restore, retention, uploads, verify
 from snapops.operators import manifests as M
@@ -9,143 +12,166 @@ from snapops.ranges import DateRange
 from snapops.schemas import LISTING
 from snapops.sources import listing as L
 from snapops.sources import manifests as S
-
-H = "879_app0"
-
+from snapops.sources.stored import stored
 
 def listing(spark, paths):
     return spark.createDataFrame([(p, 1, None) for p in paths], LISTING)
 
 
-PATHS = {
-    f"testbackup/{H}/1808575600/SST_V2/1542145086000/ks/cf/SNAPPY/PLAINTEXT/mc-1-Data.db": None,
-    f"testbackup/{H}/1808575600/META_V2/1542145086000/SNAPPY/PLAINTEXT/meta_v2_201811132138.json": None,
-    "base/us-east-1/app0/1808575600/201108082320/SST/ks/cf/f1.db": None,
-    "base/us-east-1/app0/1808575600/201108082320/SNAP/ks/cf/f1.db": None,
-    "base/us-east-1/app0/1808575600/201108082320/META/meta.json": None,
-    "base/us-east-1/app0/1808575600/201108082320/CL/c1.log": None,
-    "base/1_app0/1/SST_V2/1/ks/cf/SNAPPY/PLAINTEXT/f": "bad_cluster_hash",
-    f"base/{H}/1/SST_V2/x/ks/cf/SNAPPY/PLAINTEXT/f": "bad_last_modified",
-    f"base/{H}/1/SST_V2/1/ks/cf/ZIP/PLAINTEXT/f": "unknown_compression",
-    f"base/{H}/1/SST_V2/1/ks/cf/LZ4/ROT13/f": "unknown_encryption",
-    f"base/{H}/1/SST_V2/1/ks/cf/f": "too_few_parts",
-    "base/us-east-1/app0/1/201108082320/WHAT/ks/cf/f": "unknown_type",
-    "a/b/c": "too_few_parts",
-}
+def folder(cluster):
+    """``<hash mod 10000>_<cluster>`` by the definition of the string hash."""
+    total = 0
+    for c in cluster:
+        total = (31 * total + ord(c)) % 2**32
+    signed = total - 2**32 if total >= 2**31 else total
+    return f"{int(math.fmod(signed, 10_000))}_{cluster}"
+
+
+def v2(cluster, token, kind, at, name, table=("orders_ks", "lines")):
+    inner = "/".join(table) + "/" if kind == "SST_V2" else ""
+    return f"store/{folder(cluster)}/{token}/{kind}/{at}/{inner}LZ4/PLAINTEXT/{name}"
+
+
+def v1(cluster, token, minute, kind, name, table=("orders_ks", "lines")):
+    inner = "/".join(table) + "/" if kind in ("SNAP", "SST") else ""
+    return f"store/north/{cluster}/{token}/{minute}/{kind}/{inner}{name}"
 
 
 def test_paths_parse_and_round_trip(spark):
-    rows = C.reencode_catalog(C.build_catalog(listing(spark, PATHS))).collect()
-    assert {r.remote_path: r.error for r in rows} == PATHS
-    assert all(r.round_trips for r in rows if r.error is None)
-    first = next(r for r in rows if r.remote_path.startswith("testb") and r.file_type == "SST_V2")
-    assert (first.cluster, first.token, first.keyspace, first.column_family) == ("app0", "1808575600", "ks", "cf")
-    assert first.last_modified_ms == 1542145086000 and first.is_v2 and first.is_data
+    draw = random.Random(3)
+    expected = {}
+    for i in range(60):
+        cluster, token, at = draw.choice(["alpha", "be_ta", "gamma-7"]), str(draw.randrange(10**20)), draw.randrange(10**6) * 1000
+        kind = draw.choice(["SST_V2", "META_V2", "SNAP", "SST", "META", "CL"])
+        minute = f"2021{draw.randint(1, 12):02d}{draw.randint(1, 28):02d}{draw.randint(0, 23):02d}{draw.randint(0, 59):02d}"
+        path = v2(cluster, token, kind, at, f"n{i}.db") if kind.endswith("_V2") else v1(cluster, token, minute, kind, f"n{i}.db")
+        expected[path] = (cluster, token, kind, kind in ("SST_V2", "SNAP", "SST"), f"n{i}.db")
+    rows = C.reencode_catalog(C.build_catalog(listing(spark, expected))).collect()
+    assert {r.remote_path: (r.cluster, r.token, r.file_type, r.is_data, r.file_name) for r in rows} == expected
+    assert all(r.round_trips and r.error is None for r in rows)
+
+
+def test_paths_that_cannot_be_read(spark):
+    good = v2("alpha", "5", "SST_V2", 7000, "x.db")
+    expected = {
+        good: None,
+        good.replace(folder("alpha"), "77_alpha"): "bad_cluster_hash",
+        good.replace("/7000/", "/noon/"): "bad_last_modified",
+        good.replace("/LZ4/", "/BROTLI/"): "unknown_compression",
+        good.replace("/PLAINTEXT/", "/ENIGMA/"): "unknown_encryption",
+        good.replace("/LZ4/PLAINTEXT", ""): "too_few_parts",
+        v1("alpha", "5", "202105040302", "TAPE", "k/t/x.db"): "unknown_type",
+        "store/alone": "too_few_parts",
+    }
+    assert {r.remote_path: r.error for r in C.build_catalog(listing(spark, expected)).collect()} == expected
 
 
 def test_keyspace_named_like_an_older_type_reads_as_v1(spark):
-    row = C.build_catalog(listing(spark, [f"base/{H}/1/SST_V2/1/CL/cf/SNAPPY/PLAINTEXT/f"])).first()
-    assert (row.is_v2, row.file_type, row.error) == (False, "CL", None)
+    row = C.build_catalog(listing(spark, [v2("alpha", "1", "SST_V2", 1, "f", ("META", "t"))])).first()
+    assert (row.is_v2, row.file_type, row.error) == (False, "META", None)
 
 
 def test_milliseconds_are_cut_to_seconds(spark):
-    row = C.build_catalog(listing(spark, [f"b/{H}/1/META_V2/1999/NONE/PGP/f"]))
-    assert row.select(C.remote_path().alias("p")).first().p == f"b/{H}/1/META_V2/1000/NONE/PGP/f"
-
-
-FILTERS = [
-    (None, None, "defg", "gh", False),
-    ("abc.*", None, "abc", "cd", False),
-    ("abc.*", None, "ab", "cd", True),
-    (None, "abc.de", "abc", "def", False),
-    (None, "abc.de", "abc", "de", True),
-    ("abc.*,def.*", None, "abc", "cd", False),
-    ("abc.*,def.*", None, "def", "ab", False),
-    ("abc.*,def.*", None, "ab", "cd", True),
-    ("abc.*,def.*", None, "df", "ab", True),
-    (None, "abc.de,fg.hi", "abc", "def", False),
-    (None, "abc.de,fg.hi", "abc", "de", True),
-    (None, "abc.de,fg.hi", "fg", "hijk", False),
-    (None, "abc.de,fg.hi", "fg", "hi", True),
-    ("abc.*", "ab.ab", "ab", "cd", True),
-    ("abc.*", "ab.ab", "ab", "ab", True),
-    ("abc.*", "abc.ab", "abc", "ab", True),
-    ("abc.*", "abc.ab", "abc", "cd", False),
-    ("abc.cd", "abc.*", "abc", "cd", True),
-    ("abc.*", "abc.*", "abc", "cd", True),
-    ("abc.*,def.*", "abc.*", "def", "ab", False),
-    (None, None, "system", "peers-0a1b", True),
-    (None, None, "system", "other", False),
-    ("abc.*", None, None, "cd", False),
-    ("abc.*", None, "ab", "", False),
-]
-
-
-def test_table_filters(spark):
-    columns = [
-        filters.is_filtered(F.lit(ks).cast("string"), F.lit(cf), inc, exc).alias(f"c{i}")
-        for i, (inc, exc, ks, cf, _) in enumerate(FILTERS)
-    ]
-    assert list(spark.range(1).select(*columns).first()) == [expected for *_, expected in FILTERS]
+    path = v2("alpha", "1", "META_V2", 86_399_999, "m")
+    row = C.build_catalog(listing(spark, [path]))
+    assert row.select(C.remote_path().alias("p")).first().p == path.replace("86399999", "86399000")
 
 
-@pytest.mark.parametrize("text", ["def", "abc", ".x", "a."])
-def test_bad_table_filter(text):
-    with pytest.raises(ValueError):
-        filters.TableList.parse(text)
+def drops(include, exclude, keyspace, table):
+    """The rule in plain words: never, then exclude, then include; without a name nothing is dropped."""
+    if not keyspace or not table:
+        return False
+    name = table.split("-")[0]
 
+    def listed(text):
+        return any(k == keyspace and t.split("-")[0] in ("*", name) for k, t in (e.split(".") for e in text.split(",")))
 
-def test_orphans(spark):
-    ages = {"file1": 10, "file2": 8, "file3": 6, "file4": 4, "file5": 1, "tmplink-lb-59516-big-Index.db": 8, "file7.tmp": 8}
-    now = 1_600_000_000_000
-    base = ("c", "1", "ks", "cf")
-    files = spark.createDataFrame(
-        [(*base, n, now - a * DAY_MS) for n, a in ages.items()],
-        "cluster string, token string, keyspace string, column_family string, file_name string, modified_ms bigint",
-    )
-    snapshot = files.filter(F.col("file_name").isin("file2", "file3", "file4"))
-    assert {r.file_name for r in filters.orphan_candidates(files, now).collect()} == {"file1", "file2", "file3"}
-    found = orphans.orphan_files(files, snapshot, now)
-    assert [r.file_name for r in found.collect()] == ["file1"]
-    marks = files.filter(F.col("file_name").isin("file1", "file5")).withColumn("marked_ms", F.lit(now - 4 * DAY_MS))
-    steps = {r.file_name: r for r in orphans.orphan_lifecycle(found, marks, now, move_enabled=True).collect()}
-    assert steps["file1"].action == "MOVE" and steps["file1"].moved and steps["file1"].next_marked_ms is None
-    assert steps["file5"].action == "UNLINK"
-    young = marks.withColumn("marked_ms", F.lit(now - 3 * DAY_MS))
-    assert {r.file_name: r.action for r in orphans.orphan_lifecycle(found, young, now).collect()}["file1"] == "WAIT"
-    none = marks.limit(0)
-    assert [r.action for r in orphans.orphan_lifecycle(found, none, now).collect()] == ["LINK"]
-
-
-def retention_fixture(spark, now, retention, grace):
-    minute = 60_000
-    start = {d: now - d * DAY_MS for d in (retention + grace + 1, retention, retention - 1)}
-    a, b, c = (start[d] for d in (retention + grace + 1, retention, retention - 1))
-    files = {"mc-1": a, "mc-2": a + 10 * minute, "mc-3": b, "mc-4": b + 10 * minute, "mc-5": c, "mc-6": c + 10 * minute, "mc-7": c + 20 * minute}
-    metas = {"META0": (a + 20 * minute, ["mc-1", "mc-2"]), "META1": (b + 20 * minute, ["mc-1", "mc-4"]), "META2": (c + 40 * minute, ["mc-4", "mc-7"])}
-    sst = {n: f"b/{H}/1/SST_V2/{t}/ks/cf/SNAPPY/PLAINTEXT/{n}-Data.db" for n, t in files.items()}
-    meta = {n: f"b/{H}/1/META_V2/{t}/SNAPPY/PLAINTEXT/{n}.json" for n, (t, _) in metas.items()}
-    catalog = C.build_catalog(listing(spark, [*sst.values(), *meta.values()]))
-    entries = spark.createDataFrame(
-        [("app0", "1", meta[m], sst[f]) for m, (_, listed) in metas.items() for f in listed],
-        "cluster string, token string, manifest_path string, backup_path string",
-    )
-    names = {p: n for n, p in {**sst, **meta}.items()}
-    return catalog, entries, names
+    if keyspace == "system" and name in ("local", "peers", "hints", "compactions_in_progress", "LocationInfo"):
+        return True
+    return bool(exclude and listed(exclude)) or bool(include and not listed(include))
+
+
+def test_table_filters_follow_the_rule(spark):
+    draw = random.Random(8)
+    keyspaces, tables = ["sales", "sale", "stock", "system"], ["item", "items", "peers", "hints", "item-9f3"]
+    cases = []
+    for _ in range(120):
+        entry = lambda: f"{draw.choice(keyspaces)}.{draw.choice([*tables, '*'])}"
+        # a keyspace is listed either whole or by tables
+        lists = [None if draw.random() < 0.3 else ",".join({e.split(".")[0]: e for e in (entry() for _ in range(draw.randint(1, 3)))}.values()) for _ in range(2)]
+        cases.append((*lists, draw.choice([*keyspaces, None, ""]), draw.choice([*tables, ""])))
+    columns = [filters.is_filtered(F.lit(k).cast("string"), F.lit(t), i, e).alias(f"c{n}") for n, (i, e, k, t) in enumerate(cases)]
+    assert list(spark.range(1).select(*columns).first()) == [drops(*c) for c in cases]
 
 
-def test_retention(spark):
-    now, retention_days, grace = 1_600_000_000_000, 30, 5
-    catalog, entries, names = retention_fixture(spark, now, retention_days, grace)
+@pytest.mark.parametrize("text", ["sales", "sales.item,stock", ".item", "sales."])
+def test_bad_table_filter(text):
+    with pytest.raises(ValueError):
+        filters.TableList.parse(text)
 
-    def deleted(as_of, rows=entries):
-        plan = retention.retention_plan(catalog, rows, as_of, retention_days, grace)
-        return {names[r.remote_path] for r in plan.collect()}
 
-    assert deleted(now) == {"mc-2", "META0"}
-    assert deleted(now + DAY_MS) == {"mc-1", "mc-2", "META0", "META1"}
-    assert deleted(now + 200 * DAY_MS) == set()
-    assert deleted(now, entries.filter(F.col("manifest_path").contains("META0"))) == set()
+NAMED = "cluster string, token string, keyspace string, column_family string, file_name string, modified_ms bigint"
+
+
+def test_orphans_follow_the_rule(spark):
+    draw = random.Random(21)
+    now, grace = 1_700_000_000_000, 2
+    ages = {f"nb-{i}-Data.db": draw.randint(0, 6 * 24) for i in range(40)}
+    ages |= {"nb-90-Data.db": 48, "nb-91-Data.db.tmp": 100, "nb-92-Data.db": 49}
+    kept = {n for n in ages if draw.random() < 0.5}
+    node = ("alpha", "7", "sales", "item")
+    files = spark.createDataFrame([(*node, n, now - h * 3_600_000) for n, h in ages.items()], NAMED)
+    old = {n for n, h in ages.items() if h >= grace * 24 and not n.endswith(".tmp")}
+    assert {r.file_name for r in filters.orphan_candidates(files, now, grace).collect()} == old
+    found = orphans.orphan_files(files, files.filter(F.col("file_name").isin(sorted(kept))), now, grace)
+    assert {r.file_name for r in found.collect()} == old - kept
+
+    marked = {n: now - draw.randint(0, 5) * DAY_MS for n in sorted(ages) if draw.random() < 0.4}
+    marks = files.filter(F.col("file_name").isin(sorted(marked))).withColumn("marked_ms", F.element_at(F.create_map(*(F.lit(x) for pair in marked.items() for x in pair)), F.col("file_name")))
+    steps = {r.file_name: r for r in orphans.orphan_lifecycle(found, marks, now, grace_days=3, move_enabled=True).collect()}
+    for n in old - kept | set(marked):
+        action = "UNLINK" if n not in old - kept else "LINK" if n not in marked else "MOVE" if marked[n] < now - 3 * DAY_MS else "WAIT"
+        assert steps[n].action == action
+    assert len(steps) == len(old - kept | set(marked))
+
+
+def plain_retention(objects, manifests, whole, as_of, days, grace):
+    """Per node: what goes, by the rule."""
+    start, gone = as_of - days * DAY_MS, set()
+    for node in {o[0] for o in objects}:
+        inside = sorted((at, path) for n, at, path, _ in manifests if n == node and start <= at <= as_of)
+        if not inside or inside[0][1] not in whole:
+            continue
+        keep = next(set(files) for n, _, path, files in manifests if path == inside[0][1])
+        if keep:
+            gone |= {path for n, at, path, _ in manifests if n == node and at <= start - HOUR_MS}
+            gone |= {path for n, at, path in objects if n == node and at <= start - grace * DAY_MS and path not in keep}
+    return gone
+
+
+def test_retention_follows_the_rule(spark):
+    draw = random.Random(2)
+    as_of, days, grace = 1_700_000_000_000, 10, 3
+    objects, manifests = [], []
+    for token in map(str, range(12)):
+        own = [(token, at, v2("alpha", token, "SST_V2", at, f"nb-{i}-Data.db")) for i, at in enumerate(sorted(as_of - draw.randrange(30 * 24) * HOUR_MS for _ in range(25)))]
+        objects += own
+        for at in sorted({as_of - draw.randrange(30 * 24) * HOUR_MS for _ in range(draw.randint(0, 4))} | ({as_of - days * DAY_MS} if token == "3" else set())):
+            files = [p for _, t, p in own if t <= at and draw.random() < 0.6]
+            manifests.append((token, at, v2("alpha", token, "META_V2", at, "m.json"), files))
+    catalog = C.build_catalog(listing(spark, [o[2] for o in objects] + [m[2] for m in manifests]))
+    entries = spark.createDataFrame([("alpha", n, path, f) for n, _, path, files in manifests for f in files], "cluster string, token string, manifest_path string, backup_path string")
+    whole = {m[2] for m in manifests if draw.random() < 0.8}
+    judged = spark.createDataFrame([(m[2], m[2] in whole) for m in manifests], "manifest_path string, available boolean")
+
+    def deleted(known):
+        plan = retention.retention_plan(catalog, entries, known, as_of, days, grace, feature_start_ms=0)
+        return {r.remote_path for r in plan.collect()}
+
+    expected = plain_retention(objects, manifests, whole, as_of, days, grace)
+    assert deleted(judged) == expected and expected
+    assert deleted(judged.filter("available")) == expected
+    assert deleted(judged.limit(0)) == set()
 
 
 def test_lifecycle_rules(spark):
@@ -158,50 +184,55 @@ def test_lifecycle_rules(spark):
     assert found == {"A": "NONE", "b": "REMOVE", "c": "UPDATE", "d": "ADD", "e": "NONE", "f": "UPDATE"}
 
 
-V1 = {
-    "meta": "base/fake/fakecluster/123456/201108110030/META/meta.json",
-    "f1": "base/fake/fakecluster/123456/201108110030/SNAP/ks1/cf1/f1.db",
-    "f2": "base/fake/fakecluster/123456/201108110030/SNAP/ks1/cf1/f2.db",
-    "f3": "base/fake/fakecluster/123456/201108110030/SNAP/ks2/cf1/f2.db",
-    "i1": "base/fake/fakecluster/123456/201108110530/SST/ks2/cf1/f3.db",
-    "i2": "base/fake/fakecluster/123456/201108110600/SST/ks2/cf1/f4.db",
-}
-
-
-def v1_inputs(spark, listed, named):
-    catalog = C.build_catalog(listing(spark, [V1[n] for n in listed]))
-    entries = spark.createDataFrame([(V1["meta"], V1[n], 1) for n in named], "manifest_path string, backup_path string, size bigint")
-    return catalog, entries, verify.verify_manifest_v1(verify.manifests_in_catalog(catalog), entries, catalog)
-
-
-def test_restore_v1(spark):
-    span = DateRange.parse("201108110030,201108110530", 0)
-    names = {p: n for n, p in V1.items()}
-    catalog, entries, judged = v1_inputs(spark, list(V1), ["f1", "f2", "f3"])
-
-    def plan(**options):
-        rows = restore.restore_plan(catalog, entries, judged, span, v2=False, **options)
-        return {names[r.remote_path] for r in rows.collect()}
-
-    assert plan() == {"f1", "f2", "f3"}
-    span = DateRange.parse("201108110030,201108110730", 0)
-    assert plan() == {"f1", "f2", "f3", "i1", "i2"}
-    assert plan(incrementals=False) == {"f1", "f2", "f3"}
-    assert plan(exclude="ks2.*") == {"f1", "f2"}
-    racks = spark.createDataFrame([("fakecluster", "123456", "r1")], "cluster string, token string, rack string")
-    assert plan(racks=racks, backup_racks=["r2"]) == set()
-    assert len(plan(racks=racks, backup_racks=["r1"])) == 5
+def v1_inputs(spark, listed, named, minute="202203140915"):
+    """One node's snapshot: the paths listed in the store and the paths its manifest names."""
+    meta = v1("alpha", "88", minute, "META", "meta.json")
+    snap = lambda n: v1("alpha", "88", minute, "SNAP", f"nb-{n}-Data.db")
+    catalog = C.build_catalog(listing(spark, [meta if n == "meta" else snap(n) for n in listed]))
+    entries = spark.createDataFrame([(meta, snap(n), 1) for n in named], "manifest_path string, backup_path string, size bigint")
+    judged = spark.createDataFrame([(meta, True)], "manifest_path string, available boolean")
+    return catalog, entries, verify.verify_manifest_v1(verify.manifests_in_catalog(catalog, judged), entries, catalog)
+
+
+def test_restore_v1_follows_the_rule(spark):
+    draw = random.Random(6)
+    snapshot, minutes = "202203140915", [f"2022031409{m:02d}" for m in range(10, 60)]
+    tables = [("sales", "item"), ("sales", "price"), ("stock", "item")]
+    meta = v1("alpha", "88", snapshot, "META", "meta.json")
+    snaps = {v1("alpha", "88", snapshot, "SNAP", f"nb-{i}-Data.db", t): t for i, t in enumerate(draw.choices(tables, k=12))}
+    later = {v1("alpha", "88", m, "SST", f"nb-{i}-Data.db", t): (m, t) for i, (m, t) in enumerate(zip(draw.choices(minutes, k=40), draw.choices(tables, k=40), strict=True))}
+    logs = {v1("alpha", "88", m, "CL", f"log-{m}"): m for m in minutes}
+    catalog = C.build_catalog(listing(spark, [meta, *snaps, *later, *logs]))
+    entries = spark.createDataFrame([(meta, p, 1) for p in snaps], "manifest_path string, backup_path string, size bigint")
+    judged = spark.createDataFrame([(meta, True)], "manifest_path string, available boolean")
+    verdicts = verify.verify_manifest_v1(verify.manifests_in_catalog(catalog, judged), entries, catalog)
+
+    def plan(end, **options):
+        rows = restore.restore_plan(catalog, entries, verdicts, DateRange.parse(f"202203140900,{end}", 0), v2=False, **options)
+        return {r.remote_path for r in rows.collect()}
+
+    for end in ("202203140930", "202203141000"):
+        within = {p for p, (m, _) in later.items() if snapshot <= m < end}
+        assert plan(end) == set(snaps) | within
+        assert plan(end, incrementals=False) == set(snaps)
+        assert plan(end, exclude="sales.*") == {p for p, t in snaps.items() if t[0] != "sales"} | {p for p in within if later[p][1][0] != "sales"}
+        newest = sorted(p for p, m in logs.items() if snapshot <= m < end)[-4:]
+        assert plan(end, commit_logs=4) == set(snaps) | within | set(newest)
+    assert plan("202203140915") == set()
+    racks = spark.createDataFrame([("alpha", "88", "rack-2")], "cluster string, token string, rack string")
+    assert plan("202203140930", racks=racks, backup_racks=["rack-1"]) == set()
+    assert plan("202203140930", racks=racks, backup_racks=["rack-1", "rack-2"]) == plan("202203140930")
 
 
 @pytest.mark.parametrize(
     "listed, named, matched, missing, valid",
     [
-        (["meta", "f1", "f2"], ["f1", "f2"], 2, 0, True),
-        (["meta", "f1"], ["f1", "f2"], 1, 1, False),
+        (["meta", "1", "2"], ["1", "2"], 2, 0, True),
+        (["meta", "1"], ["1", "2"], 1, 1, False),
         (["meta"], [], 0, 0, True),
-        (["meta", "f1"], [], 0, 0, True),
-        (["meta", "f1", "f1"], ["f1", "f1", "f2"], 2, 1, False),
-        (["meta", "f1"], ["f1", "f1"], 1, 0, True),
+        (["meta", "1"], [], 0, 0, True),
+        (["meta", "1", "1"], ["1", "1", "2"], 2, 1, False),
+        (["meta", "1"], ["1", "1"], 1, 0, True),
     ],
 )
 def test_verify_v1(spark, listed, named, matched, missing, valid):
@@ -245,7 +276,7 @@ def test_upload_todo_lists_a_file_once(spark):
 def test_manifest_files_round_trip(spark, tmp_path):
     names = ["mc-1-Data.db", "mc-1-Index.db", "mc-2-Data.db", "manifest.json", "nodash"]
     files = spark.createDataFrame(
-        [("app0", "1", 1_542_145_080_000, "r", "k", "ks", "cf", n, 5, 5, 9, "SNAPPY", "PLAINTEXT", f"p/{n}") for n in names],
+        [("app0", "1", 1_700_000_040_000, "r", "k", "ks", "cf", n, 5, 5, 9, "SNAPPY", "PLAINTEXT", f"p/{n}") for n in names],
         "cluster string, token string, snapshot_ms bigint, region string, rack string, keyspace string, column_family string, "
         "file_name string, last_modified_ms bigint, creation_ms bigint, size bigint, compression string, encryption string, backup_path string",
     )
@@ -256,7 +287,7 @@ def test_manifest_files_round_trip(spark, tmp_path):
     for i, r in enumerate(built.collect()):
         folder = tmp_path / str(i)
         folder.mkdir()
-        (folder / "meta_v2_201811132138.json").write_text(r.document)
+        (folder / "meta_v2_202311142214.json").write_text(r.document)
     (tmp_path / "other.json").write_text("{}")
     read = S.read_manifest_v2(S.read_manifest_files(spark, str(tmp_path)))
     assert sorted(r.backup_path for r in read.collect()) == sorted(f"p/{n}" for n in names[:4])
@@ -275,6 +306,59 @@ def test_file_tree(spark, tmp_path):
 
 
 def test_keep_largest(spark):
-    paths = [(f"base/r/c/1/201108{day}0030/SNAP/ks/cf/f",) for day in range(10, 30)] * 2
-    kept = restore.keep_largest_n(spark.createDataFrame(paths, "p string"), "p", 10)
-    assert sorted(r.p[17:19] for r in kept.collect()) == [str(d) for d in range(20, 30)]
+    draw = random.Random(4)
+    rows = [(draw.choice("xyz"), draw.randrange(40)) for _ in range(200)]
+    kept = restore.keep_largest_n(spark.createDataFrame(rows, "g string, n int"), "n", 7, ["g"])
+    expected = {(g, n) for g in "xyz" for n in sorted({n for h, n in rows if h == g})[-7:]}
+    assert {tuple(r) for r in kept.collect()} == expected
+    alone = restore.keep_largest_n(spark.createDataFrame(rows, "g string, n int").select("n"), "n", 5)
+    assert [r.n for r in alone.collect()] == sorted({n for _, n in rows})[-5:][::-1]
+
+
+def scanned(frame):
+    """Files opened and rows read by the scan of a collected frame."""
+    plan = frame._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    while plan.children().size():
+        plan = plan.children().apply(0)
+    return plan.metrics().apply("numFiles").value(), plan.metrics().apply("numOutputRows").value()
+
+
+def test_saved_catalog_is_read_pruned(spark, tmp_path):
+    paths = [v2("alpha", "1", "SST_V2", h * HOUR_MS, f"nb-{h}-Data.db") for h in range(2000)] + [v2("alpha", "1", "META_V2", h * HOUR_MS, "m.json") for h in range(0, 2000, 50)]
+    C.save_catalog(C.build_catalog(listing(spark, paths)), str(tmp_path / "c"), rows_per_file=100)
+    table = C.read_catalog(spark, str(tmp_path / "c"))
+    assert table.columns == C.build_catalog(listing(spark, paths)).columns
+    total = len(list((tmp_path / "c").rglob("*.parquet")))
+    span = DateRange(100 * HOUR_MS, 300 * HOUR_MS)
+
+    manifests = filters.find_manifests_v2(table, span)
+    assert len(manifests.collect()) == 5
+    found = filters.incrementals_v2(table, span)
+    assert len(found.collect()) == 201
+    files, rows = scanned(found)
+    assert files < total and rows <= 400, "one type's folder, and of it the files of the span"
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(file_type" in plan and "GreaterThanOrEqual(last_modified_ms" in plan
+    assert filters.list_v1_range(table, span).count() == 0
+
+    L.save_listing(listing(spark, paths), str(tmp_path / "l"), rows_per_file=100)
+    prefix = v2("alpha", "1", "SST_V2", 10, "x").rsplit("/", 6)[0] + "/"
+    keys = L.scan_listing(L.read_listing(spark, str(tmp_path / "l")), prefix, prefix + "7000")
+    assert len(keys.collect()) == sum(p.startswith(prefix) and p > prefix + "7000" for p in paths)
+    assert scanned(keys)[1] < len(paths) / 2
+
+
+def test_stored_tables_follow_their_inputs(spark, tmp_path):
+    calls = []
+
+    def write(path):
+        calls.append(path)
+        spark.range(len(calls)).write.parquet(path)
+
+    source = str(tmp_path / "in")
+    spark.range(3).write.parquet(source)
+    first = stored(spark, "t", [source], write)
+    assert stored(spark, "t", [source], write) == first and len(calls) == 1
+    spark.range(2).write.mode("append").parquet(source)
+    assert stored(spark, "t", [source], write) != first and len(calls) == 2

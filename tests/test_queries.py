@@ -38,10 +38,11 @@ def test_every_check_has_a_query():
 def test_shuffled_input_gives_the_same_plan(spark):
     from snapops.operators.retention import retention_plan
     from snapops.plans import catalog_queries as Q
+    from snapops.plans import stores
     from snapops.plans import tables as T
 
-    catalog, entries = Q.catalog_v2(spark, DATA), T.entries(spark, DATA)
-    mixed = retention_plan(catalog.repartition(7), entries.repartition(5), Q.AS_OF, 365, feature_start_ms=Q.FEATURE_START)
+    catalog, entries, judged = Q.catalog_v2(spark, DATA), stores.entries_v2(spark, DATA), stores.judged_v2(spark, DATA)
+    mixed = retention_plan(catalog.repartition(7), entries.repartition(5), judged, Q.AS_OF, 365, feature_start_ms=Q.FEATURE_START)
     plain = Q.retention_of(spark, DATA)
     assert mixed.exceptAll(plain).isEmpty() and plain.exceptAll(mixed).isEmpty()
     oldest = entries.join(Q.catalog_v2(spark, DATA).filter("file_type = 'META_V2'").selectExpr("remote_path AS manifest_path"), "manifest_path")
