@@ -79,19 +79,6 @@ def nearer_is_lower(token: Column, lower: Column, higher: Column) -> Column:
     return F.when(F.abs(high) > 8, high > 0).otherwise(small > 0)
 
 
-def ring_bucket(token: Column, buckets: int) -> Column:
-    """Coarse order-keeping bucket of a token over either partitioner's range.
-
-    Half of the buckets cover the signed 64-bit range and half what lies above, so the
-    tokens of any ring spread over many of them.
-    """
-    value = token.cast("double")
-    half = buckets // 2
-    inner = F.floor((value + float(2**63)) / float(2**64) * half)
-    outer = half + F.floor(value / float(RANDOM_RANGE) * (half - 1))
-    return F.when(value < float(2**63), inner).otherwise(outer).cast("int")
-
-
 def next_token(token: Column) -> Column:
     """``token + 1``."""
     high, low = limbs(token)

@@ -1,24 +1,68 @@
 """Order questions on token rings: neighbours and ranks.
 
-A ring's tokens are cut into coarse, order-keeping buckets. Windows run inside a bucket, and
-one more runs over the bucket summaries, of which a ring has at most ``BUCKETS``; so even a
-ring with most of the rows is spread over the cluster.
+A ring's tokens are cut into order-keeping ranges of like size. The cuts are quantiles of a
+sample of the ring itself, so tokens that crowd in a narrow band are spread as well as
+others. Windows run inside a range, and one more runs over the range summaries, of which a
+ring has at most ``RANGES``; so even a ring with most of the rows is spread over the cluster.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapops.functions.tokens import nearer_is_lower, ring_bucket, sort_key, token_of
+from snapops.functions.tokens import nearer_is_lower, sort_key, token_of
 
-BUCKETS = 4096
+#: Most ranges of a ring.
+RANGES = 256
+#: Sampled tokens that make a range; a ring's sample has at most ``RANGES`` times as many.
+PER_RANGE = 64
+#: Tasks over which the tokens of one ring are spread where they meet its cuts.
+SALTS = 16
+
+
+def ring_cuts(keyed: DataFrame, by: list[str]) -> DataFrame:
+    """``(by, cuts)``: the sorted keys at which each ring's ranges begin, the first range's left out.
+
+    The sample has one key for each of 16,384 hash buckets, picked by a second hash: a partial
+    aggregate, whatever the size of the ring. A ring of fewer tokens is its own sample.
+    """
+    bucket = F.pmod(F.xxhash64("key"), F.lit(RANGES * PER_RANGE)).alias("hashed")
+    picked = keyed.groupBy(*by, bucket).agg(F.min_by("key", F.hash("key")).alias("key"))
+    samples = picked.groupBy(*by).agg(F.sort_array(F.collect_list("key")).alias("sample"))
+    size = F.size("sample")
+    ranges = F.least(F.lit(RANGES), F.greatest(F.lit(1), F.expr(f"size(sample) div {PER_RANGE}"))).cast("int")
+    starts = F.transform(F.sequence(F.lit(0), ranges - 1), lambda i: F.element_at("sample", (F.floor(i * size / ranges) + 1).cast("int")))
+    return samples.select(*by, F.slice(starts, F.lit(2), F.lit(RANGES)).alias("cuts"))
+
+
+def _cuts_below(cuts: Column, key: Column) -> Column:
+    """How many of the sorted cuts are not above the key, by halving."""
+    steps = F.sequence(F.lit(1), F.lit(RANGES.bit_length()))
+
+    def halve(had: Column, _: Column) -> Column:
+        middle = F.shiftright(had["low"] + had["high"], 1)
+        up = F.try_element_at(cuts, middle + 1) <= key
+        more = had["low"] < had["high"]
+        return F.struct(
+            F.when(more & up, middle + 1).otherwise(had["low"]).alias("low"), F.when(more & ~up, middle).otherwise(had["high"]).alias("high")
+        )
+
+    start = F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high"))
+    return F.aggregate(steps, start, halve, lambda had: had["low"])
+
+
+def with_ranges(keyed: DataFrame, cuts: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``range``, the number of the range a key falls into; 0 in a ring without tokens."""
+    spread = cuts.select(*by, "cuts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    met = salted.join(spread, [*by, "salt"], "left")
+    place = F.when(F.col("cuts").isNull(), 0).otherwise(_cuts_below(F.col("cuts"), F.col("key")))
+    return met.select(*keyed.columns, place.alias("range"))
 
 
 def _keyed(tokens: DataFrame, by: list[str]) -> DataFrame:
-    return tokens.select(*by, "token").distinct().select(
-        *by, ring_bucket(F.col("token"), BUCKETS).alias("bucket"), sort_key(F.col("token")).alias("key")
-    )
+    return tokens.select(*by, "token").distinct().select(*by, sort_key(F.col("token")).alias("key"))
 
 
 def token_bounds(wanted: DataFrame, ring: DataFrame, by: list[str]) -> DataFrame:
@@ -27,32 +71,33 @@ def token_bounds(wanted: DataFrame, ring: DataFrame, by: list[str]) -> DataFrame
     Wanted tokens are made distinct first, so a token asked for by very many rows is one row.
     """
     asked, owned = _keyed(wanted, by), _keyed(ring, by)
-    rows = asked.withColumn("ring_key", F.lit(None).cast("string")).unionByName(
+    both = asked.withColumn("ring_key", F.lit(None).cast("string")).unionByName(
         owned.withColumn("ring_key", F.col("key"))
     )
-    up = Window.partitionBy(*by, "bucket").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*by, "bucket").orderBy(F.desc("key")).rangeBetween(Window.unboundedPreceding, 0)
+    rows = with_ranges(both, ring_cuts(owned, by), by)
+    up = Window.partitionBy(*by, "range").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*by, "range").orderBy(F.desc("key")).rangeBetween(Window.unboundedPreceding, 0)
     near = rows.withColumns(
         {"below": F.max("ring_key").over(up), "above": F.min("ring_key").over(down)}
     ).filter(F.col("ring_key").isNull())
 
-    summary = rows.groupBy(*by, "bucket").agg(
+    summary = rows.groupBy(*by, "range").agg(
         F.min("ring_key").alias("first"), F.max("ring_key").alias("last")
     )
-    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     outside = summary.select(
         *by,
-        "bucket",
-        F.max("last").over(before).alias("bucket_below"),
-        F.min("first").over(after).alias("bucket_above"),
+        "range",
+        F.max("last").over(before).alias("range_below"),
+        F.min("first").over(after).alias("range_above"),
     )
-    found = near.join(outside, [*by, "bucket"])
+    found = near.join(outside, [*by, "range"])
     return found.select(
         *by,
         token_of(F.col("key")).alias("token"),
-        token_of(F.coalesce("below", "bucket_below")).alias("lower"),
-        token_of(F.coalesce("above", "bucket_above")).alias("higher"),
+        token_of(F.coalesce("below", "range_below")).alias("lower"),
+        token_of(F.coalesce("above", "range_above")).alias("higher"),
     )
 
 
@@ -79,21 +124,20 @@ def closest_token(wanted: DataFrame, ring: DataFrame, by: list[str]) -> DataFram
 
 def ring_position(ring: DataFrame, by: list[str]) -> DataFrame:
     """Each instance with the number of smaller tokens in its ring and the ring's size."""
-    keyed = ring.withColumns(
-        {"bucket": ring_bucket(F.col("token"), BUCKETS), "key": sort_key(F.col("token"))}
-    )
-    counts = keyed.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = ring.withColumn("key", sort_key(F.col("token")))
+    keyed = with_ranges(keyed, ring_cuts(keyed, by), by)
+    counts = keyed.groupBy(*by, "range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(
         *by,
-        "bucket",
+        "range",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"),
         F.sum("n").over(Window.partitionBy(*by)).alias("ring_size"),
     )
-    within = Window.partitionBy(*by, "bucket").orderBy("key")
+    within = Window.partitionBy(*by, "range").orderBy("key")
     ranked = keyed.withColumn("within", F.rank().over(within) - 1)
     return (
-        ranked.join(bases, [*by, "bucket"])
+        ranked.join(bases, [*by, "range"])
         .withColumn("position", F.col("base") + F.col("within"))
-        .drop("bucket", "key", "within", "base")
+        .drop("range", "key", "within", "base")
     )

@@ -1,8 +1,11 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from snapops.functions import text, tokens
+from snapops.operators import nearest
 from snapops.operators.nearest import closest_token, ring_position
 from snapops.ranges import DateRange, parse_instant_ms
 
@@ -56,7 +59,6 @@ def test_token_arithmetic(spark):
             tokens.token_of(tokens.sort_key(t)).alias("back"),
             tokens.nearer_is_lower(t, lo, hi).alias("lower"),
             tokens.next_token(t).alias("following"),
-            tokens.ring_bucket(t, 64).alias("bucket"),
         )
         .collect()
     )
@@ -66,7 +68,6 @@ def test_token_arithmetic(spark):
         assert row.lower == (int(row.h) - int(row.t) > int(row.t) - int(row.l))
     by_key = sorted(found, key=lambda r: r.key)
     assert [int(r.t) for r in by_key] == sorted(int(r.t) for r in found)
-    assert [r.bucket for r in by_key] == sorted(r.bucket for r in found)
 
 
 def test_slot_tokens(spark):
@@ -91,7 +92,9 @@ def brute_closest(token, ring):
     return min(ring, key=lambda r: (abs(r - token), -r))
 
 
-def test_closest_token_against_brute_force(spark):
+@pytest.mark.parametrize("per_range", [64, 3])
+def test_closest_token_against_brute_force(spark, monkeypatch, per_range):
+    monkeypatch.setattr(nearest, "PER_RANGE", per_range)
     rng = random.Random(3)
     ring = [rng.randint(-(2**63), 2**63) for _ in range(40)] + [rng.randint(0, 2**127) for _ in range(40)] + [10, 12, 2**127]
     asked = ring[:5] + [11, 0, -(2**63), 2**127] + [rng.randint(-(2**63), 2**127) for _ in range(100)]
@@ -104,10 +107,31 @@ def test_closest_token_against_brute_force(spark):
             assert row.closest == str(brute_closest(int(row.token), ring))
 
 
-def test_ring_position_counts_smaller_tokens(spark):
+@pytest.mark.parametrize("per_range", [64, 3])
+def test_ring_position_counts_smaller_tokens(spark, monkeypatch, per_range):
+    monkeypatch.setattr(nearest, "PER_RANGE", per_range)
     rng = random.Random(4)
     values = [rng.randint(-(2**63), 2**63) for _ in range(60)] + [5, 5, 6]
     ring = spark.createDataFrame([("a", i, str(t)) for i, t in enumerate(values)], "app string, id long, token string")
     for row in ring_position(ring, ["app"]).collect():
         assert row.position == sum(v < int(row.token) for v in values)
         assert row.ring_size == len(values)
+
+
+def test_crowded_rings_spread_over_all_ranges(spark):
+    start = 2**126 + 12_345
+    narrow = spark.range(40_000).select(F.lit("narrow").alias("app"), F.concat(F.lit(str(start)[:-6]), F.lpad((F.col("id") + 100_000).cast("string"), 6, "0")).alias("token"))
+    wide = spark.range(3000).select(F.lit("wide").alias("app"), (F.col("id") * 2**50 - 2**61).cast("string").alias("token"))
+    small = spark.range(5).select(F.lit("small").alias("app"), F.col("id").cast("string").alias("token"))
+    keyed = nearest._keyed(narrow.unionByName(wide).unionByName(small), ["app"])
+    ranged = nearest.with_ranges(keyed, nearest.ring_cuts(keyed, ["app"]), ["app"])
+    sizes = {}
+    for r in ranged.groupBy("app", "range").count().collect():
+        sizes.setdefault(r.app, {})[r.range] = r["count"]
+    for app, n in (("narrow", 40_000), ("wide", 3000), ("small", 5)):
+        found = sizes[app]
+        assert sorted(found) == list(range(len(found))) and sum(found.values()) == n
+        assert max(found.values()) <= 3 * n / len(found)
+    assert len(sizes["narrow"]) >= 200 and len(sizes["wide"]) >= 30 and len(sizes["small"]) == 1
+    edges = ranged.groupBy("app", "range").agg(F.min("key").alias("low"), F.max("key").alias("high")).orderBy("app", "range").collect()
+    assert all(a.high < b.low for a, b in zip(edges, edges[1:]) if a.app == b.app)
