@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapops.constants import FILE_TYPES
@@ -90,6 +90,24 @@ def as_topic_rows(messages: DataFrame, topic: str) -> DataFrame:
     )
 
 
-def notify_sink(messages: DataFrame, path: str) -> None:
-    """Append the messages as JSON lines."""
-    messages.select("message", F.to_json("attributes").alias("attributes")).write.mode("append").json(path)
+def notify_sink(messages: DataFrame, path: str, batch: int) -> None:
+    """Write a batch of messages as JSON lines, then the record that makes them count.
+
+    A batch that failed before its record was written is invisible; run again under its number
+    it replaces its own files, so each message is read once however often a batch is tried.
+    """
+    rows = messages.select("remote_path", "message", F.to_json("attributes").alias("attributes"))
+    rows.write.mode("overwrite").json(f"{path}/messages/batch={batch}")
+    commit(messages.sparkSession, path, batch)
+
+
+def commit(spark: SparkSession, path: str, batch: int) -> None:
+    spark.range(batch, batch + 1, 1, 1).write.mode("overwrite").parquet(f"{path}/committed/batch={batch}")
+
+
+def read_sink(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of the committed batches, in the form ``as_topic_rows`` takes."""
+    schema = "remote_path string, message string, attributes string, batch bigint"
+    done = spark.read.schema("id bigint, batch bigint").parquet(f"{path}/committed").select("batch").distinct()
+    rows = spark.read.schema(schema).json(f"{path}/messages").join(done, "batch", "left_semi")
+    return rows.select("remote_path", "message", F.from_json("attributes", "map<string,string>").alias("attributes"))

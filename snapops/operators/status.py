@@ -24,23 +24,39 @@ def status_fold(events: DataFrame) -> DataFrame:
     The last event wins; a run keeps the first completion it was given. Both are partial
     aggregates, so a run with many events costs one row per task in the shuffle.
     """
+    return run_records(merge_partials(run_partials(events)))
+
+
+LAST = ["status", "snapshot_ok", "location", "last_validated_ms"]
+
+
+def run_partials(events: DataFrame) -> DataFrame:
+    """One row per event in the form in which runs are folded: what it says last, and what it completes."""
     done = F.col("status").isin("FINISHED", "FAILED")
-    completed = F.coalesce(F.col("completed_ms"), F.when(done, F.col("event_ms")))
-    last = F.struct("status", "snapshot_ok", "location", "last_validated_ms")
-    folded = (
-        valid_events(events)
-        .withColumn("completion", completed)
-        .groupBy(*RUN_KEY)
-        .agg(
-            F.max_by(last, "seq").alias("last"),
-            F.min_by("completion", F.when(F.col("completion").isNotNull(), F.col("seq"))).alias("completed_ms"),
-        )
+    completion = F.coalesce(F.col("completed_ms"), F.when(done, F.col("event_ms")))
+    return valid_events(events).select(
+        *RUN_KEY,
+        F.col("seq").alias("last_seq"),
+        F.struct(*LAST).alias("last"),
+        F.when(completion.isNotNull(), F.col("seq")).alias("completed_seq"),
+        completion.alias("completed_ms"),
     )
-    return folded.select(
-        *RUN_KEY, day_text(F.col("start_ms")).alias("snapshot_date"), "completed_ms", "last.*"
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """One row per run; the result can be merged again with later events."""
+    return partials.groupBy(*RUN_KEY).agg(
+        F.max("last_seq").alias("last_seq"),
+        F.max_by("last", "last_seq").alias("last"),
+        F.min("completed_seq").alias("completed_seq"),
+        F.min_by("completed_ms", "completed_seq").alias("completed_ms"),
     )
 
 
+def run_records(partials: DataFrame) -> DataFrame:
+    return partials.select(*RUN_KEY, day_text(F.col("start_ms")).alias("snapshot_date"), "completed_ms", "last.*")
+
+
 def finished_runs(status: DataFrame, version: int, span: DateRange) -> DataFrame:
     return status.filter(
         (F.col("status") == "FINISHED")

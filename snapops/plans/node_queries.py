@@ -14,6 +14,7 @@ from snapops.plans import tables as T
 from snapops.plans.catalog_queries import AS_OF, CHECKED, SPAN, catalog_v2, run_records, run_verdicts
 from snapops.plans.registry import query
 from snapops.plans.tables import sql_minute
+from snapops.session import shared_dir
 from snapops.sources import gossip_dump, registry
 from snapops.sources import listing as L
 from snapops.sources import settings as sources
@@ -776,7 +777,10 @@ def notifications(spark, sf):
     f"SELECT 'backups' AS topic, remote_path AS key, {MESSAGE} AS value, 2::BIGINT AS n_headers FROM v2",
 )
 def notify_sink(spark, sf):
-    rows = notify.as_topic_rows(notify.upload_notifications(uploaded(spark, sf), ""), "backups")
+    """Messages written to the sink as one batch and read back from it."""
+    path = shared_dir(spark, "notify-sink")
+    notify.notify_sink(notify.upload_notifications(uploaded(spark, sf), ""), path, 0)
+    rows = notify.as_topic_rows(notify.read_sink(spark, path), "backups")
     return rows.select("topic", "key", "value", F.size("headers").cast("bigint").alias("n_headers"))
 
 

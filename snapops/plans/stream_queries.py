@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snapops.operators import notify
 from snapops.operators.health import FLAGS
 from snapops.plans import tables as T
 from snapops.plans.node_queries import HEALTH
@@ -40,7 +41,7 @@ def stream_health(spark, sf):
 def stream_status(spark, sf):
     path = shared_dir(spark, "runs")
     streams.stream_status(T.status_rows(source(spark, sf, "orders")), path)
-    return streams.read_latest(spark, path, ["cluster", "token", "version", "start_ms"])
+    return streams.read_runs(spark, path)
 
 
 def incremental_files(spark: SparkSession, sf: str, lines: DataFrame) -> DataFrame:
@@ -106,4 +107,4 @@ def stream_notifications(spark, sf):
         *[none.alias(name) for name in unknown],
     )
     streams.stream_notifications(uploads, path, "SST_V2")
-    return streams.read_appended(spark, path).select("remote_path", "message")
+    return notify.read_sink(spark, path).select("remote_path", "message")

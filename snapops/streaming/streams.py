@@ -1,21 +1,47 @@
 """The polling jobs as Structured Streaming queries.
 
 Wherever the batch operator is an aggregate, the stream runs the very same function. Results
-are written per micro-batch under the batch number, so a repeated batch replaces itself.
+are written per micro-batch under the batch number, so a repeated batch replaces itself. What
+a stream remembers is keyed: paths in a state store on disk, run records in a table by day.
+No batch reads what earlier ones wrote, but for the days it touches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from snapops.functions.text import day_text
 from snapops.operators.filters import drop_empty_incrementals, filter_keyspace_table
 from snapops.operators.health import health_status
-from snapops.operators.notify import upload_notifications
-from snapops.operators.status import status_fold
-from snapops.operators.uploads import upload_todo
+from snapops.operators.notify import notify_sink, upload_notifications
+from snapops.operators.status import merge_partials, run_partials, run_records
+
+#: Keyed state lives in a store on the executors' disks; its files are not allocated ahead.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
 
 def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int = 1_000) -> DataFrame:
     """Parquet files that arrive in a folder, a bounded number per micro-batch."""
@@ -27,23 +53,32 @@ def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
     )
 
 
+def run_batches(stream: DataFrame, path: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
+    """Hand ``each`` every micro-batch of what is there now and its number, then stop."""
+    with state_on_disk(stream.sparkSession):
+        writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint")
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+    return query
+
+
 def run_available(
     stream: DataFrame, path: str, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None
-) -> None:
-    """Process everything that is there now and stop; one folder per micro-batch below ``path``."""
+) -> StreamingQuery:
+    """Process everything that is there now and stop; one folder per micro-batch below ``path``.
+
+    The folder of an empty batch is written first, so a source without files reads as no rows.
+    """
+    spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
         out = each(batch, batch_id) if each else batch
         out.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
 
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(write)
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    empty = spark.createDataFrame([], stream.schema)
+    write_none = each(empty, -1) if each else empty
+    write_none.write.mode("overwrite").parquet(f"{path}/rows/batch=-1")
+    return run_batches(stream, path, write, mode)
 
 
 def read_appended(spark: SparkSession, path: str) -> DataFrame:
@@ -60,32 +95,97 @@ def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 def stream_incrementals(
     files: DataFrame, listing: DataFrame, path: str, include: str | None = None, exclude: str | None = None
-) -> None:
+) -> StreamingQuery:
     """Upload rows for new incremental files, each once: no empty ones, no filtered tables.
 
-    A file is new if neither the listing nor an earlier batch has its path, however late it
-    arrives; the earlier batches' rows are the memory, so nothing is forgotten.
+    Paths seen are keyed state without expiry, so a file is known however late it comes again,
+    and a batch costs a look-up for each of its rows. The listing enters that state in the
+    first batch, as a stream of its own; a table file it holds is not uploaded.
     """
-    keys = ["cluster", "token", "remote_path"]
+    spark = files.sparkSession
     wanted = filter_keyspace_table(drop_empty_incrementals(files), include, exclude)
+    columns = wanted.columns
+    known = f"{path}/known"
+    listing.select("remote_path").distinct().write.mode("ignore").parquet(known)
+    listed = spark.readStream.schema("remote_path string").parquet(known)
+    listed = listed.select(*(F.col(c) if c == "remote_path" else F.lit(None).cast(wanted.schema[c].dataType).alias(c) for c in columns))
+    both = wanted.withColumn("listed", F.lit(False)).unionByName(listed.withColumn("listed", F.lit(True)))
+    # Only table files are looked up in the listing; other types are uploaded whatever it holds.
+    blocking = F.col("listed") | (F.col("file_type") == "SST_V2")
+    seen = both.withColumn("blocking", F.coalesce(blocking, F.lit(False))).dropDuplicates(["remote_path", "blocking"])
 
     def new(batch: DataFrame, batch_id: int) -> DataFrame:
-        rows = upload_todo(batch.dropDuplicates(keys), listing)
-        if batch_id == 0:
-            return rows
-        earlier = batch.sparkSession.read.parquet(f"{path}/rows").filter(F.col("batch") < batch_id)
-        return rows.join(earlier.select(*keys), keys, "left_anti").select(*rows.columns)
+        rows = batch.filter("NOT listed")
+        if batch_id <= 0:
+            there = batch.sparkSession.read.schema("remote_path string").parquet(known)
+            rows = rows.alias("r").join(there.alias("k"), F.expr("r.remote_path = k.remote_path AND r.blocking"), "left_anti")
+        return rows.select(*columns)
 
-    run_available(wanted, path, each=new)
+    return run_available(seen, path, each=new)
 
 
-def stream_status(events: DataFrame, path: str) -> None:
-    """Run records, rewritten on every event of a run."""
-    run_available(status_fold(events), path, "update")
+def stream_status(events: DataFrame, path: str) -> StreamingQuery:
+    """Run records in a table by day, brought up to date by every batch of events.
 
+    A batch folds its events, merges them with the records of the days they belong to and
+    writes those days anew; a small table then names the batch that holds each day. Nothing
+    else is read or rewritten, and there is no state beside the table. A batch that is run
+    again starts from the days as the batches before it left them.
+    """
 
-def stream_notifications(uploads: DataFrame, path: str, include: str | None = None, extra: list[str] | None = None) -> None:
-    run_available(upload_notifications(uploads, include, extra), path)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = merge_partials(run_partials(batch)).withColumn("snapshot_date", day_text(F.col("start_ms")))
+        current = day_batches(spark, path, batch_id)
+        days = {r.snapshot_date for r in fresh.select("snapshot_date").distinct().collect()}
+        held = {d: b for d, b in current.items() if d in days}
+        merged = merge_partials(_read_days(spark, path, held).unionByName(fresh)) if held else fresh.drop("snapshot_date")
+        rows = merged.withColumn("snapshot_date", day_text(F.col("start_ms")))
+        rows = rows.repartitionByRange("snapshot_date", "cluster", "token", "start_ms")
+        rows.write.mode("overwrite").partitionBy("snapshot_date").parquet(f"{path}/runs/batch={batch_id}")
+        named = [(d, int(b)) for d, b in (current | dict.fromkeys(days, batch_id)).items()]
+        spark.createDataFrame(named, "snapshot_date string, in_batch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/days/batch={batch_id}")
+
+    spark = events.sparkSession
+    spark.createDataFrame([], "snapshot_date string, in_batch long").write.mode("overwrite").parquet(f"{path}/days/batch=-1")
+    return run_batches(events, path, write)
+
+
+PARTIAL = (
+    "cluster string, token string, version int, start_ms bigint, last_seq bigint, "
+    "last struct<status: string, snapshot_ok: boolean, location: string, last_validated_ms: bigint>, "
+    "completed_seq bigint, completed_ms bigint, snapshot_date string"
+)
+
+
+def day_batches(spark: SparkSession, path: str, before: int | None = None) -> dict[str, int]:
+    """The batch that holds each day, as of the last one committed (before the given one)."""
+    rows = spark.read.schema("snapshot_date string, in_batch long, batch long").parquet(f"{path}/days")
+    if before is not None:
+        rows = rows.filter(F.col("batch") < before)
+    last = rows.agg(F.max("batch")).first()[0]
+    return {} if last is None else {r.snapshot_date: r.in_batch for r in rows.filter(F.col("batch") == last).collect()}
+
+
+def _read_days(spark: SparkSession, path: str, held: dict[str, int]) -> DataFrame:
+    folders = [f"{path}/runs/batch={b}/snapshot_date={d}" for d, b in sorted(held.items())]
+    rows = spark.read.schema(PARTIAL.rsplit(", ", 1)[0]).parquet(*folders)
+    return rows.withColumn("snapshot_date", day_text(F.col("start_ms")))
+
+
+def read_runs(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
+    """The records ``stream_status`` keeps, of one day or of all; as many rows are read as there are runs."""
+    held = {d: b for d, b in day_batches(spark, path).items() if day in (None, d)}
+    if not held:
+        return run_records(spark.createDataFrame([], PARTIAL))
+    return run_records(_read_days(spark, path, held))
+
+
+def stream_notifications(uploads: DataFrame, path: str, include: str | None = None, extra: list[str] | None = None) -> StreamingQuery:
+    """Messages about uploads, each in the sink once."""
+    messages = upload_notifications(uploads, include, extra)
+    notify_sink(uploads.sparkSession.createDataFrame([], messages.schema), path, -1)
+    return run_batches(messages, path, lambda batch, number: notify_sink(batch, path, number))
 
 
 def stream_health(flags: DataFrame, path: str) -> None:
