@@ -40,7 +40,7 @@ def stream_health(spark, sf):
 @query("stream_status", "run", "SELECT * FROM run")
 def stream_status(spark, sf):
     path = shared_dir(spark, "runs")
-    streams.stream_status(T.status_rows(source(spark, sf, "orders")), path)
+    streams.stream_status(T.status_rows(source(spark, sf, "orders")), path, "yyyyMM")
     return streams.read_runs(spark, path)
 
 

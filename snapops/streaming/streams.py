@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from snapops.functions.text import day_text
 from snapops.operators.filters import drop_empty_incrementals, filter_keyspace_table
 from snapops.operators.health import health_status
 from snapops.operators.notify import notify_sink, upload_notifications
@@ -124,61 +123,59 @@ def stream_incrementals(
     return run_available(seen, path, each=new)
 
 
-def stream_status(events: DataFrame, path: str) -> StreamingQuery:
+def stream_status(events: DataFrame, path: str, period: str = "yyyyMMdd") -> StreamingQuery:
     """Run records in a table by day, brought up to date by every batch of events.
 
     A batch folds its events, merges them with the records of the days they belong to and
     writes those days anew; a small table then names the batch that holds each day. Nothing
     else is read or rewritten, and there is no state beside the table. A batch that is run
-    again starts from the days as the batches before it left them.
+    again starts from the days as the batches before it left them. ``period`` is the pattern
+    of the table's parts: days, or months where a batch brings years of sparse history.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = merge_partials(run_partials(batch)).withColumn("snapshot_date", day_text(F.col("start_ms")))
-        current = day_batches(spark, path, batch_id)
-        days = {r.snapshot_date for r in fresh.select("snapshot_date").distinct().collect()}
-        held = {d: b for d, b in current.items() if d in days}
-        merged = merge_partials(_read_days(spark, path, held).unionByName(fresh)) if held else fresh.drop("snapshot_date")
-        rows = merged.withColumn("snapshot_date", day_text(F.col("start_ms")))
-        rows = rows.repartitionByRange("snapshot_date", "cluster", "token", "start_ms")
-        rows.write.mode("overwrite").partitionBy("snapshot_date").parquet(f"{path}/runs/batch={batch_id}")
-        named = [(d, int(b)) for d, b in (current | dict.fromkeys(days, batch_id)).items()]
-        spark.createDataFrame(named, "snapshot_date string, in_batch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/days/batch={batch_id}")
-
-    spark = events.sparkSession
-    spark.createDataFrame([], "snapshot_date string, in_batch long").write.mode("overwrite").parquet(f"{path}/days/batch=-1")
+        part = F.date_format(F.timestamp_millis("start_ms"), period)
+        fresh = merge_partials(run_partials(batch))
+        current = part_batches(spark, path, batch_id)
+        parts = {r.part for r in fresh.select(part.alias("part")).distinct().collect()}
+        held = {d: b for d, b in current.items() if d in parts}
+        merged = merge_partials(_read_parts(spark, path, held).unionByName(fresh)) if held else fresh
+        rows = merged.withColumn("part", part).repartitionByRange("part", "cluster", "token", "start_ms")
+        rows.write.mode("overwrite").partitionBy("part").parquet(f"{path}/runs/batch={batch_id}")
+        named = [(d, int(b)) for d, b in (current | dict.fromkeys(parts, batch_id)).items()]
+        spark.createDataFrame(named, PARTS).coalesce(1).write.mode("overwrite").parquet(f"{path}/parts/batch={batch_id}")
+
+    events.sparkSession.createDataFrame([], PARTS).write.mode("overwrite").parquet(f"{path}/parts/batch=-1")
     return run_batches(events, path, write)
 
 
+PARTS = "part string, in_batch long"
 PARTIAL = (
     "cluster string, token string, version int, start_ms bigint, last_seq bigint, "
     "last struct<status: string, snapshot_ok: boolean, location: string, last_validated_ms: bigint>, "
-    "completed_seq bigint, completed_ms bigint, snapshot_date string"
+    "completed_seq bigint, completed_ms bigint"
 )
 
 
-def day_batches(spark: SparkSession, path: str, before: int | None = None) -> dict[str, int]:
-    """The batch that holds each day, as of the last one committed (before the given one)."""
-    rows = spark.read.schema("snapshot_date string, in_batch long, batch long").parquet(f"{path}/days")
+def part_batches(spark: SparkSession, path: str, before: int | None = None) -> dict[str, int]:
+    """The batch that holds each part, as of the last one committed (before the given one)."""
+    rows = spark.read.schema(f"{PARTS}, batch long").parquet(f"{path}/parts")
     if before is not None:
         rows = rows.filter(F.col("batch") < before)
     last = rows.agg(F.max("batch")).first()[0]
-    return {} if last is None else {r.snapshot_date: r.in_batch for r in rows.filter(F.col("batch") == last).collect()}
+    return {} if last is None else {r.part: r.in_batch for r in rows.filter(F.col("batch") == last).collect()}
 
 
-def _read_days(spark: SparkSession, path: str, held: dict[str, int]) -> DataFrame:
-    folders = [f"{path}/runs/batch={b}/snapshot_date={d}" for d, b in sorted(held.items())]
-    rows = spark.read.schema(PARTIAL.rsplit(", ", 1)[0]).parquet(*folders)
-    return rows.withColumn("snapshot_date", day_text(F.col("start_ms")))
+def _read_parts(spark: SparkSession, path: str, held: dict[str, int]) -> DataFrame:
+    folders = [f"{path}/runs/batch={b}/part={d}" for d, b in sorted(held.items())]
+    return spark.read.schema(PARTIAL).parquet(*folders)
 
 
-def read_runs(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
-    """The records ``stream_status`` keeps, of one day or of all; as many rows are read as there are runs."""
-    held = {d: b for d, b in day_batches(spark, path).items() if day in (None, d)}
-    if not held:
-        return run_records(spark.createDataFrame([], PARTIAL))
-    return run_records(_read_days(spark, path, held))
+def read_runs(spark: SparkSession, path: str, part: str | None = None) -> DataFrame:
+    """The records ``stream_status`` keeps, of one part or of all; as many rows are read as there are runs."""
+    held = {d: b for d, b in part_batches(spark, path).items() if part in (None, d)}
+    return run_records(_read_parts(spark, path, held) if held else spark.createDataFrame([], PARTIAL))
 
 
 def stream_notifications(uploads: DataFrame, path: str, include: str | None = None, extra: list[str] | None = None) -> StreamingQuery:

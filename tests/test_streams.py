@@ -46,8 +46,8 @@ def test_streamed_runs_equal_the_batch_and_are_stored_once(spark, tmp_path):
     assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
     day = found.first().snapshot_date
     assert streams.read_runs(spark, str(tmp_path / "runs"), day).count() == expected.filter(F.col("snapshot_date") == day).count()
-    held = streams.day_batches(spark, str(tmp_path / "runs"))
-    assert streams._read_days(spark, str(tmp_path / "runs"), held).count() == expected.count()
+    held = streams.part_batches(spark, str(tmp_path / "runs"))
+    assert streams._read_parts(spark, str(tmp_path / "runs"), held).count() == expected.count()
 
 
 def test_a_batch_of_runs_touches_its_days_only(spark, tmp_path):
@@ -58,7 +58,7 @@ def test_a_batch_of_runs_touches_its_days_only(spark, tmp_path):
     streams.stream_status(stream(), path)
     second.write.mode("append").parquet(str(tmp_path / "events"))
     streams.stream_status(stream(), path)
-    held = streams.day_batches(spark, path)
+    held = streams.part_batches(spark, path)
     assert len(held) == 6 and sum(b == 0 for b in held.values()) == 5
     expected = S.status_fold(first.unionByName(second))
     found = streams.read_runs(spark, path).select(*expected.columns)
