@@ -60,12 +60,16 @@ def field_paths(value, at: str = "") -> set[str]:
 
 
 def registry(layouts: tuple[Mapping, ...] = LAYOUTS) -> dict[str, Mapping]:
-    """Fingerprints of each layout with each choice of its optional fields; the first layout wins."""
+    """Fingerprints of each layout with each choice of its optional fields; the first layout wins.
+
+    A record without any field set has no layout, so it becomes no turn.
+    """
     found: dict[str, Mapping] = {}
     for layout in layouts:
         for n in range(len(layout.optional) + 1):
             for chosen in combinations(layout.optional, n):
-                found.setdefault(fingerprint({*layout.paths, *chosen}), layout)
+                if layout.paths or chosen:
+                    found.setdefault(fingerprint({*layout.paths, *chosen}), layout)
     return found
 
 
@@ -127,8 +131,8 @@ def chat_formatted(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS) -
 
     A conversation's text is its rows' ``formatted`` in the order of turn, part and text, so
     no conversation needs to fit into one row. Defined cases: null texts and roles are empty;
-    a record that is not a JSON object, or whose fingerprint has no mapping, gives one row
-    with null ``layout`` and ``formatted`` and its fingerprint; repeated records give repeated
+    a record that is not a JSON object, has no field set, or whose fingerprint has no mapping,
+    gives one row with null ``layout`` and ``formatted`` and its fingerprint; repeated records give repeated
     turns; null ids are one conversation; empty tables give an empty result.
     """
     known = registry(layouts)

@@ -62,11 +62,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(part.first, len(sets)),
+                    batch.column("text_key").slice(part.first, len(sets)),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))),
                 ],
-                ["doc_id", "n_shingles", "set_hash", "halves"],
+                ["doc_id", "text_key", "n_shingles", "set_hash", "halves"],
             )
 
 
@@ -116,7 +117,7 @@ def forest(ids: list[int], sets: list[np.ndarray], n_left: int | None = None) ->
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in groups(batches, ["cluster", "low", "high"]):
-        ids, own = group["doc_id"].to_pylist(), group["block"].to_numpy()
+        ids, own = group["class_id"].to_pylist(), group["block"].to_numpy()
         low, high = group["low"][0].as_py(), group["high"][0].as_py()
         sets = [s for part in slices(group["text"], lower=True) for s in shingle_sets(part)]
         if low != high:
@@ -127,36 +128,49 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _clusters(classes: DataFrame) -> DataFrame:
-    """``doc_id, cluster`` of class representatives that share a table key with others."""
-    halves = classes.select("doc_id", F.posexplode("halves").alias("place", "half"))
+    """``class_id, cluster`` of classes that share a table key with others."""
+    halves = classes.select("class_id", F.posexplode("halves").alias("place", "half"))
     common = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
     left, right = (F.sort_array(F.collect_set(F.when(cond, F.col("half")))) for cond in (F.col("place") < HALVES, F.col("place") >= HALVES))
-    live = halves.join(common, "half").groupBy("doc_id").agg(left.alias("left"), right.alias("right"))
-    tables = saved(live.select("doc_id", F.explode("left").alias("a"), "right").select("doc_id", "a", F.explode("right").alias("b")).select("doc_id", F.xxhash64("a", "b").alias("key")), "near-tables")
-    first = tables.groupBy("key").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "v")
-    meet = tables.join(first, "key").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
+    live = halves.join(common, "half").groupBy("class_id").agg(left.alias("left"), right.alias("right"))
+    tables = saved(live.select("class_id", F.explode("left").alias("a"), "right").select("class_id", "a", F.explode("right").alias("b")).select("class_id", F.xxhash64("a", "b").alias("key")), "near-tables")
+    first = tables.groupBy("key").agg(F.min("class_id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "v")
+    meet = tables.join(first, "key").where("class_id <> v").select(F.col("class_id").alias("u"), "v").distinct()
     roots = components(meet, "near-clusters")
-    return roots.select(F.col("u").alias("doc_id"), F.col("root").alias("cluster")).union(roots.select("root", "root").distinct())
+    return roots.select(F.col("u").alias("class_id"), F.col("root").alias("cluster")).union(roots.select("root", "root").distinct())
 
 
 def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``u, v`` edges that span the links within clusters; ``members``: doc_id, cluster, n_shingles."""
+    """``u, v`` edges that span the links within clusters; ``members``: class_id, doc_id, text_key, cluster, n_shingles.
+
+    A class's text is that of its smallest id; the key of the text tells which, where an id has several.
+    """
     total = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("total"))
     grade = F.floor(F.log(F.col("n_shingles").cast("double")) / -math.log(PERCENT / 100) * (1 - 1e-9)).cast("int")
-    graded = saved(members.join(total, "cluster").select("doc_id", "cluster", F.when(F.col("total") <= BLOCK, 0).otherwise(grade).alias("grade")), "near-graded")
+    graded = saved(members.join(total, "cluster").select("class_id", "doc_id", "text_key", "cluster", F.when(F.col("total") <= BLOCK, 0).otherwise(grade).alias("grade")), "near-graded")
     cuts = graded.groupBy("cluster", "grade").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cuts"))
     by_grade = cuts.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("grade", "cuts"))).alias("cuts"))  # a few dozen grades of size
     number = lambda g, i: g.cast("long") * 2**32 + i.cast("long")
     cuts_of = lambda g: F.coalesce(F.try_element_at("cuts", g), F.lit(0))
-    own = number(F.col("grade"), F.pmod(F.xxhash64("doc_id"), cuts_of(F.col("grade"))))
+    own = number(F.col("grade"), F.pmod(F.xxhash64("class_id"), cuts_of(F.col("grade"))))
     beside = lambda g: F.when(cuts_of(g) > 0, F.transform(F.sequence(F.lit(0), cuts_of(g) - 1), lambda i: number(g, i))).otherwise(F.array().cast("array<bigint>"))
     others = F.explode(F.concat(*(beside(F.col("grade") + k) for k in (-1, 0, 1))))
     tasks = graded.join(by_grade, "cluster").withColumn("block", own).withColumn("other", others)
-    tasks = tasks.select("doc_id", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    texts = docs.select("doc_id", "text").join(graded.select("doc_id"), "doc_id", "left_semi")
-    texts = texts.groupBy("doc_id").agg(F.first("text").alias("text")).join(tasks, "doc_id")
+    tasks = tasks.select("class_id", "doc_id", "text_key", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    text_of = ["doc_id", "text_key"]
+    texts = docs.join(graded.select(*text_of), text_of, "left_semi")
+    texts = texts.groupBy(*text_of).agg(F.first("text").alias("text")).join(tasks, text_of)
     keys = ["cluster", "low", "high"]
-    return texts.select(*keys, "block", "doc_id", "text").repartition(*keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(_confirmed, "u long, v long")
+    return texts.select(*keys, "block", "class_id", "text").repartition(*keys).sortWithinPartitions(*keys, "class_id").mapInArrow(_confirmed, "u long, v long")
+
+
+def _of_one_id(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``u, v`` edges between the classes that an id with several texts belongs to."""
+    several = signed.groupBy("doc_id").agg(F.min("set_hash").alias("low"), F.max("set_hash").alias("high")).where("low <> high").select("doc_id", F.col("low").alias("first_hash"))
+    pairs = signed.join(several, "doc_id").where("set_hash <> first_hash").select("set_hash", "first_hash").distinct()
+    numbers = classes.select("set_hash", F.col("class_id").alias("u"))
+    first = classes.select(F.col("set_hash").alias("first_hash"), F.col("class_id").alias("v"))
+    return pairs.join(numbers, "set_hash").join(first, "first_hash").select("u", "v")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -164,17 +178,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Words are lower-cased (A to Z). Defined cases: null and empty texts, and texts of spaces,
     have no shingles and are linked with nothing; texts of under five words have one shingle,
-    the whole sequence; repeated rows are one class; rows without an id take no part: they
-    have no component and are kept; an empty table gives an empty result. Only the two
-    columns are read.
+    the whole sequence; repeated rows are one class; an id that occurs with several texts is
+    one document that has all their links; rows without an id take no part: they have no
+    component and are kept; an empty table gives an empty result. Only the two columns are
+    read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = saved(rows.mapInArrow(_signatures, "doc_id long, n_shingles long, set_hash binary, halves array<long>"), "near-signatures")
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
+    signed = saved(rows.mapInArrow(_signatures, "doc_id long, text_key long, n_shingles long, set_hash binary, halves array<long>"), "near-signatures")
     usable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = saved(usable.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "halves")).alias("r")).select("set_hash", "r.*"), "near-classes")
-    members = _clusters(classes).join(classes.select("doc_id", "n_shingles"), "doc_id")
-    roots = components(_links(rows, saved(members, "near-members")), "near-links")
-    named = classes.select("set_hash", "doc_id").join(roots, F.col("doc_id") == F.col("u"), "left").select("set_hash", F.coalesce("root", "doc_id").alias("root"))
-    joined = signed.drop("halves").join(named, "set_hash", "left")
+    picked = usable.groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "halves")).alias("r")).select("set_hash", "r.*")
+    classes = saved(picked.withColumn("class_id", F.monotonically_increasing_id()), "near-classes")
+    members = _clusters(classes).join(classes.select("class_id", "doc_id", "text_key", "n_shingles"), "class_id")
+    links = _links(rows, saved(members, "near-members")).union(_of_one_id(usable, classes))
+    roots = components(links, "near-links")
+    placed = classes.join(roots, F.col("class_id") == F.col("u"), "left").select("set_hash", "doc_id", F.coalesce("root", "class_id").alias("root"))
+    least = placed.groupBy("root").agg(F.min("doc_id").alias("least"))
+    named = placed.join(least, "root").select("set_hash", F.col("least").alias("root"))
+    joined = signed.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -225,3 +225,25 @@ def test_components_and_numbers(spark):
 @pytest.mark.parametrize("operator", [near_dedup.near_duplicates, substrings.without_repeats, shards.sharded, mixing.mixed_sources], ids=lambda f: f.__name__)
 def test_empty_tables(none, operator):
     assert operator(none).count() == 0
+
+
+def test_an_id_with_several_texts_has_all_their_links(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(1, a), (1, b), (2, f"{a} z"), (3, f"{b} z"), (4, a), (4, c), (0, f"{c} z"), (9, "q r s t u v w")]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {*((i, 0) for i in range(5)), (9, 9)}
+
+
+def test_records_without_a_field_are_no_turns(spark):
+    raw = ["{}", '{"messages":[]}', '{"messages":[{}]}', '{"role":null,"text":null}', "[]", "x", None, '{"role":"user"}', '{"prompt":"p","response":"r"}']
+    raw += ['{"system":"s","prompt":"p","response":"r"}', '{"prompt":"p","completion":"c"}', '{"instruction":"i","input":"n","output":"o"}']
+    raw += ['{"messages":[{"role":"user","content":"u"},{"role":"assistant","content":"<|im_end|>"}]}', '{"conversations":[{"from":"human","value":"h"},{"from":"gpt","value":"g"}]}']
+    records = spark.createDataFrame([(i, 0, r) for i, r in enumerate(raw)], "conv_id long, turn long, record string")
+    turns = {}
+    for r in chat.chat_formatted(records).orderBy("conv_id", "part").collect():
+        turns.setdefault(r.conv_id, []).extend(chat.parsed_turns(r.formatted) if r.layout else [])
+    assert [turns[i] for i in range(7)] == [[]] * 7
+    assert turns[7] == [("user", "")]
+    assert turns[8] == [("user", "p"), ("assistant", "r")] and turns[9] == [("system", "s"), *turns[8]]
+    assert turns[10] == [("user", "p"), ("assistant", "c")] and turns[11] == [("user", "i\n\nn"), ("assistant", "o")]
+    assert turns[12] == [("user", "u"), ("assistant", "<|im_end|>")] and turns[13] == [("user", "h"), ("assistant", "g")]
