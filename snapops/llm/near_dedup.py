@@ -158,7 +158,7 @@ def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
     tasks = graded.join(by_grade, "cluster").withColumn("block", own).withColumn("other", others)
     tasks = tasks.select("class_id", "doc_id", "text_key", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     text_of = ["doc_id", "text_key"]
-    texts = docs.join(graded.select(*text_of), text_of, "left_semi")
+    texts = docs.join(graded.select("doc_id"), "doc_id", "left_semi")
     texts = texts.groupBy(*text_of).agg(F.first("text").alias("text")).join(tasks, text_of)
     keys = ["cluster", "low", "high"]
     return texts.select(*keys, "block", "class_id", "text").repartition(*keys).sortWithinPartitions(*keys, "class_id").mapInArrow(_confirmed, "u long, v long")
