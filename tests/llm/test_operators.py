@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import re
@@ -124,6 +125,22 @@ def test_shards_are_whole_and_level(docs, rows):
         assert slots == list(range(len(slots)))
 
 
+def test_shards_are_as_level_as_longest_first_makes_them(spark):
+    draw = random.Random(31)
+    found = [f"t{i} " * draw.randint(1, 60) for i in range(120)]
+    given = list(enumerate(found + draw.choices(found, k=150)))
+    placed = shards.sharded(spark.createDataFrame(given, "doc_id long, text string"), 5).collect()
+    of_text = {}
+    for _, t in given:
+        of_text[t] = of_text.get(t, 0) + len(t.encode()) + 1
+    loads = sorted(sum(r["size"] for r in placed if r["shard"] == s) for s in range(5))
+    assert sum(loads) == sum(of_text.values()) and loads[-1] - loads[0] <= max(of_text.values())
+    plain = [0] * 5
+    for size in sorted(of_text.values(), reverse=True):
+        plain[plain.index(min(plain))] += size
+    assert loads == sorted(plain), "every text is larger than a 4,096th of the whole, so each is an item of its own"
+
+
 def test_longest_first_is_within_its_bound():
     draw = random.Random(1)
     items = [(i, draw.randint(1, 1000)) for i in range(500)]
@@ -204,6 +221,32 @@ def test_warc_links_both_records_to_the_response(spark):
     assert derived.count() == 6
 
 
+def test_warc_derivatives_equal_plain_ones(spark):
+    draw = random.Random(3)
+    letters = ["a", "é", "日", " ", "-"]
+    made = [(i, draw.choice([None, f"http://h{i}/é"]), "".join(f"<p>{''.join(draw.choices(letters, k=9))}</p><!-- no -->" for _ in range(draw.randint(0, 5)))) for i in range(40)]
+    pages = spark.createDataFrame([(*p, "clash") for p in [*made, made[0]]], "page_id long, url string, html string, record_id string")
+    sources = {r["page_id"]: bytes(r["record"]) for r in warc.responses(pages).collect()}
+    rows = warc.derivatives(warc.responses(pages)).collect()
+    assert len(rows) == 82 and len({(r["page_id"], r["record_id"]) for r in rows}) == 80
+    for r in rows:
+        i, url, html = made[r["page_id"]]
+        head, _, rest = bytes(r["record"]).partition(b"\r\n\r\n")
+        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        block = rest[: int(fields["Content-Length"])]
+        origin = dict(line.split(": ", 1) for line in sources[i].partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+        assert rest[len(block) :] == b"\r\n\r\n" and fields["WARC-Refers-To"] == origin["WARC-Record-ID"] == r["refers_to"]
+        assert r["target_uri"] == url and r["content_length"] == len(block)
+        digest = "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+        assert r["block_digest"] == digest
+        if r["warc_type"] == "conversion":
+            said = [p.removeprefix("<p>") for p in html.split("</p><!-- no -->") if p]
+            assert block.decode().split() == " ".join(said).split()
+            assert fields["WARC-Source-Payload-Digest"] == origin["WARC-Payload-Digest"]
+        else:
+            assert f"source-WARC-Record-ID: {origin['WARC-Record-ID']}".encode() in block
+
+
 def test_chat_escapes_reverse():
     for text in ["", "<|im_end|>", "<*|x", "<**|", "a<|im_start|>b\n", "<|im_end|>\n<|im_start|>assistant\nok<|im_end|>\n"]:
         assert chat.unescape(chat.escape(text)) == text
