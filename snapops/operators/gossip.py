@@ -26,39 +26,39 @@ def observer_view(documents: DataFrame) -> DataFrame:
     ).drop("s", "document")
 
 
+#: A token number may be in use in several applications, and its dc decides who is asked.
+KEY = ["app", "dc", "token"]
+
+
 def eligible_observations(observations: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Observations of each ``(token, dc)`` by other instances of the same dc.
+    """Observations of each ``(app, dc, token)`` by other instances of the same application and dc.
 
-    ``observations(token, observer_token, observer_dc, …)`` holds what was asked; nothing is
-    paired up here.
+    ``observations(app, token, observer_token, observer_dc, …)`` holds what was asked; nothing
+    is paired up here beyond the dcs a token is asked for in.
     """
-    asked = tokens.select("token", F.lower("dc").alias("asked_dc")).distinct()
     other = F.lower("token") != F.lower("observer_token")
-    return (
-        observations.join(asked, "token")
-        .filter(other & (F.lower("observer_dc") == F.col("asked_dc")))
-        .drop("asked_dc")
-    )
+    met = observations.filter(other).join(tokens.select(*KEY).distinct(), ["app", "token"])
+    return met.filter(F.lower("observer_dc") == F.lower("dc"))
 
 
 def gossip_consensus(observations: DataFrame, order: str = "seq") -> DataFrame:
-    """Verdict per token from ``(token, ip, live, reachable, seq)``.
+    """Verdict per token from ``(app, dc, token, ip, live, reachable, seq)``, the eligible observations.
 
     Between one and three observers must agree, three when there are that many. The first
     reachable ones in the given order are asked. The rank keeps three rows per token on both
     sides of the shuffle, so a token with very many observers costs no more than others.
     """
-    counts = observations.groupBy("token").agg(F.count(F.lit(1)).alias("eligible"))
-    first = Window.partitionBy("token").orderBy(order)
+    counts = observations.groupBy(*KEY).agg(F.count(F.lit(1)).alias("eligible"))
+    first = Window.partitionBy(*KEY).orderBy(order)
     asked = (
         observations.filter("reachable")
-        .select("token", order, "ip", "live")
+        .select(*KEY, order, "ip", "live")
         .withColumn("rank", F.row_number().over(first))
         .filter(F.col("rank") <= MAX_OBSERVERS)
     )
     heard = F.sort_array(F.collect_list(F.struct("rank", "ip", "live")))
-    heard = asked.groupBy("token").agg(heard.alias("heard"))
-    joined = counts.join(heard, "token", "left")
+    heard = asked.groupBy(*KEY).agg(heard.alias("heard"))
+    joined = counts.join(heard, KEY, "left")
     needed = F.greatest(F.lit(1), F.least(F.lit(MAX_OBSERVERS), F.col("eligible"))).cast("int")
     used = F.slice(F.coalesce("heard", F.array().cast("array<struct<rank:int,ip:string,live:boolean>>")), 1, needed)
     judged = joined.withColumns({"needed": needed, "used": used})
@@ -80,18 +80,18 @@ def gossip_consensus(observations: DataFrame, order: str = "seq") -> DataFrame:
     )
     told = F.when(F.col("other").isNotNull() & ~F.col("claim.live"), F.col("other")).otherwise(F.col("claim"))
     return judged.withColumns({"status": status, "told": told}).select(
-        "token", "status", F.col("told.ip").alias("ip"), F.col("told.live").alias("live")
+        *KEY, "status", F.col("told.ip").alias("ip"), F.col("told.live").alias("live")
     )
 
 
 def replace_ip_existing(tokens: DataFrame, consensus: DataFrame) -> DataFrame:
-    """Address to replace for each dead token ``(token, registry_ip)`` a node may claim."""
-    joined = tokens.join(consensus, "token", "left")
+    """Address to replace for each dead token ``(app, dc, token, registry_ip)`` a node may claim."""
+    joined = tokens.join(consensus, KEY, "left")
     unheard = F.coalesce("status", F.lit("UNREACHABLE_NODES")) == "UNREACHABLE_NODES"
     ip = F.when(unheard, F.col("registry_ip")).when(
         (F.col("status") == "GOOD") & ~F.col("live"), F.col("ip")
     )
-    return joined.select("token", F.coalesce("status", F.lit("UNREACHABLE_NODES")).alias("status"), ip.alias("replace_ip"))
+    return joined.select(*KEY, F.coalesce("status", F.lit("UNREACHABLE_NODES")).alias("status"), ip.alias("replace_ip"))
 
 
 def replace_ip_assigned(
@@ -99,10 +99,10 @@ def replace_ip_assigned(
 ) -> DataFrame:
     """Address to replace for each token already assigned to a node with its own addresses.
 
-    ``tokens(token, host_ip, private_ip)``. A token others see alive, or disagree about unless
+    ``tokens(app, dc, token, host_ip, private_ip)``. A token others see alive, or disagree about unless
     permitted, is an error: the node has to wait.
     """
-    joined = tokens.join(consensus, "token", "left")
+    joined = tokens.join(consensus, KEY, "left")
     good = F.coalesce("status", F.lit("UNREACHABLE_NODES")) == "GOOD"
     foreign = (F.col("ip") != F.col("host_ip")) & (F.col("ip") != F.col("private_ip"))
     error = F.when(good & foreign & F.col("live"), "owner_alive")
@@ -110,7 +110,7 @@ def replace_ip_assigned(
         error = F.coalesce(error, F.when(F.col("status") == "MISMATCH", "gossip_mismatch"))
     ip = F.when(good & foreign & ~F.col("live"), F.col("ip"))
     return joined.select(
-        "token",
+        *KEY,
         F.coalesce("status", F.lit("UNREACHABLE_NODES")).alias("status"),
         ip.alias("replace_ip"),
         error.alias("error"),

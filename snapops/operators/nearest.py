@@ -124,7 +124,11 @@ def closest_token(wanted: DataFrame, ring: DataFrame, by: list[str]) -> DataFram
 
 def ring_position(ring: DataFrame, by: list[str]) -> DataFrame:
     """Each instance with the number of smaller tokens in its ring and the ring's size."""
-    keyed = ring.withColumn("key", sort_key(F.col("token")))
+    return key_positions(ring.withColumn("key", sort_key(F.col("token"))), by)
+
+
+def key_positions(keyed: DataFrame, by: list[str]) -> DataFrame:
+    """Replaces ``key`` by ``position``, the number of smaller keys of its group, and ``ring_size``."""
     keyed = with_ranges(keyed, ring_cuts(keyed, by), by)
     counts = keyed.groupBy(*by, "range").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

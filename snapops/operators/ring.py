@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapops.constants import DEAD_SUFFIX, MINUTE_MS, NEW_SLOT
 from snapops.functions.text import region_offset
 from snapops.functions.tokens import RANDOM, next_token, slot_token, sort_key
-from snapops.operators.nearest import token_bounds
+from snapops.operators.nearest import key_positions, token_bounds
 
 
 def initial_token(slots: DataFrame, partitioner: str = RANDOM) -> DataFrame:
@@ -41,6 +44,30 @@ def dead_tokens(ring: DataFrame, live: DataFrame) -> DataFrame:
     return dead.join(first, ["app", "rack"]).withColumn("next_claim", rank == F.col("first")).drop("first")
 
 
+def claims(claimants: DataFrame, dead: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Token each new node takes over: ``(app, rack, instance_id, dc, id, token, replace_ip, source)``.
+
+    ``claimants(app, rack, instance_id)`` are numbered within their rack, and so are the
+    offers: first the dead tokens with an address to replace, lowest id first, then the slots
+    prepared ahead. The n-th claimant takes the n-th offer, so no token is given twice. A
+    token whose owner the others see alive, or disagree about, is no offer; a claimant beyond
+    the offers must generate a token (``source`` null). ``decisions(app, dc, token,
+    replace_ip)`` as ``replace_ip_existing`` gives them.
+
+    Numbers are counted in ranges of a rack, so a rack with most of the nodes is many tasks.
+    """
+    rack = ["app", "rack"]
+    known = dead.join(decisions.select("app", "dc", "token", "replace_ip"), ["app", "dc", "token"], "left")
+    offered = known.filter(F.col("pregenerated") | F.col("replace_ip").isNotNull())
+    order = F.concat(F.when(F.col("pregenerated"), "1").otherwise("0"), F.lpad(F.col("id").cast("string"), 20, "0"), F.lit("/"), "dc")
+    source = F.when(F.col("pregenerated"), "slot").otherwise("dead")
+    offer = F.struct("dc", "id", "token", F.when(~F.col("pregenerated"), F.col("replace_ip")).alias("replace_ip"), source.alias("source"))
+    offers = key_positions(offered.select(*rack, order.alias("key"), offer.alias("offer")), rack).select(*rack, "position", "offer")
+    asking = claimants.select(*rack, "instance_id").distinct().withColumn("key", F.col("instance_id"))
+    asking = key_positions(asking, rack).select(*rack, "instance_id", "position")
+    return asking.join(offers, [*rack, "position"], "left").select(*rack, "instance_id", "offer.*")
+
+
 def preassigned_tokens(instances: DataFrame, ring: DataFrame) -> DataFrame:
     """Row each ``(app, instance_id)`` already owns: in the dead registry first, else the live one."""
     row = F.struct("id", "token", "dc")
@@ -208,61 +235,77 @@ def is_seed(ring: DataFrame) -> DataFrame:
     )
 
 
+KEY = ["app", "dc", "id"]
+FIELDS = ["instance_id", "hostname", "ip", "rack", "token"]
+CHANGED = (
+    "app string, dc string, id bigint, instance_id string, hostname string, ip string, rack string, token string, "
+    "updated_ms bigint, seq bigint, op string, refused boolean"
+)
+
+
+def _folded(as_of_ms: int):
+    """Plays the changes of each key in order on its row; rows come sorted, one row is held."""
+    names = [c.split()[0] for c in CHANGED.split(", ")]
+    oldest = as_of_ms - 3 * MINUTE_MS
+
+    def passes(row: dict | None, change: dict) -> bool:
+        if change["op"] == "update":
+            return row is not None and (row["instance_id"], row["token"]) == (change["expected_instance"], change["expected_token"])
+        if change["op"] == "create":
+            return row is None or (row["app"].endswith(DEAD_SUFFIX) and row["updated_ms"] is not None and row["updated_ms"] < oldest)
+        return change["op"] == "delete"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, row = None, None
+        out: list[dict] = []
+        for batch in batches:
+            for change in batch.to_pylist():
+                here = tuple(change[k] for k in KEY)
+                if here != key:
+                    if row is not None:
+                        out.append(row | {"seq": None, "op": None, "refused": False})
+                    key, row = here, None
+                now = {c: change[c] for c in (*KEY, *FIELDS)}
+                if change["seq"] is None:
+                    row = now | {"updated_ms": change["updated_ms"]}
+                elif not passes(row, change):
+                    out.append(now | {"updated_ms": None, "seq": change["seq"], "op": change["op"], "refused": True})
+                else:
+                    row = None if change["op"] == "delete" else now | {"updated_ms": as_of_ms}
+            yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in out], schema=_ARROW)
+            out = []
+        if row is not None:
+            yield pa.RecordBatch.from_pylist([row | {"seq": None, "op": None, "refused": False}], schema=_ARROW)
+
+    return run
+
+
+_ARROW = pa.schema(
+    [(n, {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}[t]) for n, t in (c.split() for c in CHANGED.split(", "))]
+)
+
+
 def registry_cas_apply(
     registry: DataFrame, changes: DataFrame, as_of_ms: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Registry after a batch of conditional changes, and the changes that were refused.
+    """Registry after conditional changes in the order of ``seq``, and the changes that were refused.
 
     ``changes(seq, op, app, dc, id, expected_instance, expected_token, instance_id, hostname,
-    ip, rack, token)`` with op ``update``, ``create`` or ``delete``. All conditions are checked
-    against the given registry: an update needs the expected instance and token, a create a
-    free key (in a dead registry a row older than three minutes counts as free). Of several
-    changes of one key that pass, the lowest ``seq`` wins and the rest lost the race.
+    ip, rack, token)`` with op ``update``, ``create`` or ``delete``. Each change of a key meets
+    the row the one before it left: an update needs the expected instance and token, a create a
+    free key (in a dead registry a row older than three minutes counts as free), a delete
+    nothing. Equal numbers go in the order of op and instance.
+
+    Rows and changes are hashed by key and sorted by number, and one row is held while a key's
+    changes stream past, so a key with very many changes costs time, not memory.
     """
-    key = ["app", "dc", "id"]
-    fields = ["instance_id", "hostname", "ip", "rack", "token"]
-    current = registry.select(*key, F.struct(*fields, "updated_ms").alias("cur"))
-    joined = changes.withColumn("new", F.struct(*fields)).join(current, key, "left")
-    stale = F.col("app").endswith(DEAD_SUFFIX) & (
-        F.col("cur.updated_ms") < F.lit(as_of_ms - 3 * MINUTE_MS)
-    )
-    passes = (
-        F.when(
-            F.col("op") == "update",
-            (F.col("cur.instance_id") == F.col("expected_instance"))
-            & (F.col("cur.token") == F.col("expected_token")),
-        )
-        .when(F.col("op") == "create", F.col("cur").isNull() | stale)
-        .when(F.col("op") == "delete", F.lit(True))
-    )
-    judged = joined.withColumn("passes", F.coalesce(passes, F.lit(False)))
-    winners = (
-        judged.filter("passes")
-        .groupBy(*key)
-        .agg(F.min_by(F.struct("seq", "op", "new"), "seq").alias("win"))
-    )
-    won = winners.select(*key, F.col("win.seq").alias("won_seq"))
-    refused = (
-        judged.join(won, key, "left")
-        .filter(~F.col("passes") | (F.col("seq") != F.col("won_seq")))
-        .select(
-            "seq",
-            "op",
-            *key,
-            F.when(F.col("passes"), "lost_race").otherwise("condition_failed").alias("reason"),
-        )
-    )
-    merged = current.join(winners, key, "full_outer")
-    changed = F.col("win").isNotNull()
-    kept = merged.filter(~(changed & (F.col("win.op") == "delete")))
-    after = kept.select(
-        *key,
-        *[
-            F.when(changed, F.col(f"win.new.{name}")).otherwise(F.col(f"cur.{name}")).alias(name)
-            for name in fields
-        ],
-        F.when(changed, F.lit(as_of_ms)).otherwise(F.col("cur.updated_ms")).alias("updated_ms"),
-    )
+    nothing = {c: F.lit(None).cast("string") for c in ("expected_instance", "expected_token", "op")}
+    current = registry.select(*KEY, *FIELDS, F.col("updated_ms").cast("bigint").alias("updated_ms")).withColumns({**nothing, "seq": F.lit(None).cast("bigint")})
+    asked = changes.select("seq", "op", *KEY, *FIELDS, "expected_instance", "expected_token").withColumn("updated_ms", F.lit(None).cast("bigint"))
+    rows = current.unionByName(asked).repartition(*KEY).sortWithinPartitions(*KEY, F.asc_nulls_first("seq"), "op", "instance_id")
+    played = rows.mapInArrow(_folded(as_of_ms), CHANGED)
+    after = played.filter("NOT refused").select(*KEY, *FIELDS, "updated_ms")
+    refused = played.filter("refused").select("seq", "op", *KEY, F.lit("condition_failed").alias("reason"))
     return after, refused
 
 

@@ -321,9 +321,17 @@ def verify_manifest_v1(spark, sf):
     return verify.verify_manifest_v1(manifests_v1(spark, sf), once, catalog_v1(spark, sf)).drop("available")
 
 
+def verdicts_of(spark: SparkSession, sf: str, span: DateRange):
+    """Verification of the manifests it is given, over the entries of the span only."""
+    entries = verify.in_span(stores.entries_v2(spark, sf), span)
+    return lambda asked: verify.verify_manifest_v2(asked, entries, objects_v2(spark, sf), asked=True)
+
+
 @query("latest_valid_manifest", "verdict", f"SELECT * FROM {LATEST}")
 def latest_valid_manifest(spark, sf):
-    return verify.latest_valid_manifest(span_verdicts(spark, sf), SPAN)
+    candidates = verify.in_span(manifests_v2(spark, sf), SPAN)
+    latest = verify.newest_valid_in_rounds(candidates, verdicts_of(spark, sf, SPAN))
+    return latest.select("cluster", "token", "snapshot_ms", "manifest_path")
 
 
 FINISHED = f"SELECT * FROM run WHERE status = 'FINISHED' AND version = 2 AND start_ms BETWEEN {SPAN.start_ms} AND {SPAN.end_ms}"
@@ -341,11 +349,20 @@ CHECKED = f"""(SELECT r.*, v.valid FROM ({FINISHED}) r JOIN verdict v ON r.locat
     "verify_latest_backup",
     "run verdict",
     f"""SELECT cluster, token, max(start_ms) AS start_ms, arg_max(location, start_ms) AS location,
-        (arg_max({{'v': last_validated_ms}}, start_ms)).v AS last_validated_ms, arg_max(valid, start_ms) AS valid
+        (arg_max({{'v': last_validated_ms}}, start_ms)).v AS last_validated_ms
         FROM {CHECKED} WHERE valid OR last_validated_ms IS NOT NULL GROUP BY 1, 2""",
 )
 def verify_latest_backup(spark, sf):
-    return verify.verify_latest_backup(run_records(spark, sf), run_verdicts(spark, sf, SPAN), 2, SPAN)
+    """Newest run first: a run validated before ends the search of its node without a look at its files."""
+    runs = S.latest_backup_metadata(run_records(spark, sf), 2, SPAN)
+    known = manifests_v2(spark, sf).select(F.col("manifest_path").alias("location"), "available")
+    candidates = runs.join(known, "location").select(
+        "cluster", "token", F.col("start_ms").alias("snapshot_ms"), F.col("location").alias("manifest_path"), "available", "last_validated_ms"
+    )
+    every = stores.entries_v2(spark, sf)
+    verify_asked = lambda asked: verify.verify_manifest_v2(asked.dropDuplicates(["manifest_path"]), every, objects_v2(spark, sf), asked=True)
+    latest = verify.newest_valid_in_rounds(candidates, verify_asked, "last_validated_ms IS NOT NULL")
+    return latest.select("cluster", "token", F.col("snapshot_ms").alias("start_ms"), F.col("manifest_path").alias("location"), "last_validated_ms")
 
 
 @query(

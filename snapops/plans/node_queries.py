@@ -42,6 +42,26 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     return uploads.build_upload_table(T.inventory(spark, sf), "/data", "backup", "SST_V2")
 
 
+@query(
+    "scan_file_tree",
+    "inv",
+    "SELECT keyspace, column_family, folder, count(*) AS n_files, bool_and(size > 0) AS all_have_bytes FROM (SELECT DISTINCT keyspace, column_family, "
+    "CASE kind WHEN 0 THEN 'snapshots' WHEN 1 THEN 'backups' END AS folder, 1 AS size FROM inv WHERE kind < 2) GROUP BY 1, 2, 3",
+)
+def scan_file_tree(spark, sf):
+    """Files below a data folder, listed by a file scan that reads no content: one for each table and folder."""
+    path = shared_dir(spark, "data-dir")
+    rows = L.scan_data_dir(T.inventory(spark, sf), "/data").filter("folder IS NOT NULL").select("keyspace", "column_family", "folder", "file_name")
+    keys = ["keyspace", "column_family", "folder"]
+    rows.repartition(*keys).write.partitionBy(*keys).json(path)
+    tree = L.read_file_tree(spark, path)
+    named = tree.withColumn("local_path", F.regexp_replace(F.expr("substr(remote_path, instr(remote_path, '/keyspace='))"), "/[a-z_]+=", "/"))
+    # the folder lies beside the file, so a snapshot needs a name to be told from it
+    named = named.withColumn("local_path", F.regexp_replace("local_path", "/snapshots/", "/snapshots/s/"))
+    found = L.scan_data_dir(named, "/")
+    return found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_files"), F.bool_and(F.col("size") > 0).alias("all_have_bytes"))
+
+
 @query(
     "build_upload_table",
     "inv clusters",
@@ -394,6 +414,33 @@ def dead_tokens(spark, sf):
     return R.dead_tokens(T.ring(spark, sf), live).select("app", "rack", "dc", "id", "pregenerated", "next_claim")
 
 
+@query(
+    "claims",
+    "ring consensus",
+    f"""WITH said AS (SELECT r.app, r.dc, r.id, status, x.ip, live FROM ring r JOIN consensus x ON x.app = 'app0' AND x.dc = 'dc0' AND x.token = r.id::VARCHAR),
+        o AS (SELECT d.app, d.rack, d.dc, d.id, d.tok::VARCHAR AS token, pregenerated, CASE WHEN status = 'MISMATCH' OR (status = 'GOOD' AND live) THEN NULL
+            WHEN status = 'GOOD' THEN c.ip ELSE d.ip END AS replace_ip FROM {DEAD} d LEFT JOIN said c USING (app, dc, id)),
+        n AS (SELECT *, row_number() OVER (PARTITION BY app, rack ORDER BY pregenerated, id, dc) AS n FROM o WHERE pregenerated OR replace_ip IS NOT NULL),
+        a AS (SELECT app, rack, instance_id, row_number() OVER (PARTITION BY app, rack ORDER BY instance_id) AS n FROM
+            (SELECT 'app' || (c_custkey % 3) AS app, 'r' || (c_nationkey % 3) AS rack, 'new-' || c_custkey AS instance_id FROM customer WHERE c_custkey % 40 = 1))
+        SELECT a.app, a.rack, a.instance_id, n.dc, n.id, n.token, CASE WHEN NOT pregenerated THEN replace_ip END AS replace_ip,
+        CASE WHEN pregenerated THEN 'slot' WHEN NOT pregenerated THEN 'dead' END AS source FROM a LEFT JOIN n USING (app, rack, n)""",
+)
+def claims(spark, sf):
+    """New nodes take over dead tokens; gossip of app0 in dc0 about a token number tells on the instance of that id."""
+    ring, key = T.ring(spark, sf), F.col("c_custkey")
+    dead = R.dead_tokens(ring, filters.live_members(members(spark, sf)))
+    heard = consensus(spark, sf).filter("app = 'app0' AND dc = 'dc0'").select(F.col("token").cast("bigint").alias("id"), "status", "ip", "live")
+    said = ring.select("app", "dc", "token", "id").join(heard, "id").drop("id")
+    decisions = gossip.replace_ip_existing(ring.select("app", "dc", "token", F.col("ip").alias("registry_ip")), said)
+    asking = T.table(spark, sf, "customer").filter(key % 40 == 1).select(
+        F.concat(F.lit("app"), T.text(key % 3)).alias("app"),
+        F.concat(F.lit("r"), T.text(F.col("c_nationkey") % 3)).alias("rack"),
+        F.concat(F.lit("new-"), T.text(key)).alias("instance_id"),
+    )
+    return R.claims(asking, dead, decisions)
+
+
 @query(
     "preassigned_tokens",
     "ring",
@@ -414,9 +461,9 @@ def preassigned_tokens(spark, sf):
 @query(
     "registry_cas_apply",
     "ring",
-    """SELECT app, dc, id, CASE WHEN id % 3 = 0 AND id % 6 <> 0 THEN 'i-new' ELSE instance_id END AS instance_id, tok::VARCHAR AS token,
+    """SELECT app, dc, id, CASE WHEN id % 3 = 0 AND id % 6 <> 0 THEN 'i-last' ELSE instance_id END AS instance_id, tok::VARCHAR AS token,
         CASE WHEN id % 3 = 0 AND id % 6 <> 0 THEN 1000000000000 ELSE updated_ms END AS updated_ms FROM ring WHERE id % 3 <> 1
-        UNION ALL SELECT app, dc, id + 1000000000, 'i-new', tok::VARCHAR, 1000000000000 FROM ring WHERE id % 3 = 2""",
+        UNION ALL SELECT app, dc, id + 1000000000, 'i-last', tok::VARCHAR, 1000000000000 FROM ring WHERE id % 3 = 2""",
 )
 def registry_cas_apply(spark, sf):
     return cas(spark, sf)[0].select("app", "dc", "id", "instance_id", "token", "updated_ms")
@@ -440,15 +487,16 @@ def cas(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         "token",
     )
     late = changes.withColumn("seq", F.col("seq") + 2_000_000_000)
-    return R.registry_cas_apply(ring, changes.unionByName(late), 1_000_000_000_000)
+    builds_on = {"seq": F.col("seq") + 4_000_000_000, "op": F.lit("update"), "expected_instance": F.lit("i-new"), "instance_id": F.lit("i-last")}
+    return R.registry_cas_apply(ring, changes.unionByName(late).unionByName(changes.withColumns(builds_on)), 1_000_000_000_000)
 
 
 @query(
     "registry_cas_refused",
     "ring",
     """SELECT id AS seq, 'update' AS op, id AS id, 'condition_failed' AS reason FROM ring WHERE id % 6 = 0
-        UNION ALL SELECT id + 2000000000, CASE id % 3 WHEN 0 THEN 'update' WHEN 1 THEN 'delete' ELSE 'create' END,
-        CASE WHEN id % 3 = 2 THEN id + 1000000000 ELSE id END, CASE WHEN id % 6 = 0 THEN 'condition_failed' ELSE 'lost_race' END FROM ring""",
+        UNION ALL SELECT id + 2000000000, CASE id % 3 WHEN 0 THEN 'update' ELSE 'create' END, CASE WHEN id % 3 = 2 THEN id + 1000000000 ELSE id END, 'condition_failed' FROM ring WHERE id % 3 <> 1
+        UNION ALL SELECT id + 4000000000, 'update', id, 'condition_failed' FROM ring WHERE id % 6 = 0 OR id % 3 = 1""",
 )
 def registry_cas_refused(spark, sf):
     return cas(spark, sf)[1].select("seq", "op", "id", "reason")
@@ -480,16 +528,22 @@ def is_seed(spark, sf):
 
 @query(
     "observer_view",
-    "cons0",
-    "SELECT token, seq, CASE WHEN reachable THEN ip END AS ip, CASE WHEN reachable THEN live END AS live, reachable FROM cons0",
+    "obs",
+    "SELECT app, token, seq, CASE WHEN reachable THEN ip END AS ip, CASE WHEN reachable THEN live END AS live, reachable FROM obs",
 )
 def observer_view(spark, sf):
-    return gossip.observer_view(T.observations(spark, sf)).select("token", "seq", "ip", "live", "reachable")
+    return gossip.observer_view(T.observations(spark, sf)).select("app", "token", "seq", "ip", "live", "reachable")
 
 
 @T.shared_plan
 def consensus(spark: SparkSession, sf: str) -> DataFrame:
-    return gossip.gossip_consensus(gossip.observer_view(T.observations(spark, sf)))
+    asked = gossip.eligible_observations(T.observations(spark, sf), T.asked_tokens(spark, sf))
+    return gossip.gossip_consensus(gossip.observer_view(asked))
+
+
+def asked_by(key):
+    """Application, dc and token a customer stands for; some no observer knows."""
+    return F.concat(F.lit("app"), T.text(key % 3)).alias("app"), F.concat(F.lit("dc"), T.text(key % 2)).alias("dc"), T.text(key % 300).alias("token")
 
 
 @query("gossip_consensus", "consensus", "SELECT * FROM consensus")
@@ -500,14 +554,14 @@ def gossip_consensus(spark, sf):
 @query(
     "replace_ip_decision",
     "consensus",
-    """SELECT token, coalesce(status, 'UNREACHABLE_NODES') AS status, CASE WHEN status IS NULL OR status = 'UNREACHABLE_NODES' THEN registry_ip
+    """SELECT app, dc, token, coalesce(status, 'UNREACHABLE_NODES') AS status, CASE WHEN status IS NULL OR status = 'UNREACHABLE_NODES' THEN registry_ip
         WHEN status = 'GOOD' AND NOT live THEN ip END AS replace_ip
-        FROM (SELECT c_custkey::VARCHAR AS token, 'ip-' || c_custkey AS registry_ip FROM customer) LEFT JOIN consensus USING (token)""",
+        FROM (SELECT 'app' || (c_custkey % 3) AS app, 'dc' || (c_custkey % 2) AS dc, (c_custkey % 300)::VARCHAR AS token, 'ip-' || c_custkey AS registry_ip FROM customer) LEFT JOIN consensus USING (app, dc, token)""",
 )
 def replace_ip_decision(spark, sf):
     key = F.col("c_custkey")
     tokens = T.table(spark, sf, "customer").select(
-        T.text(key).alias("token"), F.concat(F.lit("ip-"), T.text(key)).alias("registry_ip")
+        *asked_by(key), F.concat(F.lit("ip-"), T.text(key)).alias("registry_ip")
     )
     return gossip.replace_ip_existing(tokens, consensus(spark, sf))
 
@@ -515,15 +569,15 @@ def replace_ip_decision(spark, sf):
 @query(
     "replace_ip_assigned",
     "consensus",
-    """SELECT token, coalesce(status, 'UNREACHABLE_NODES') AS status, CASE WHEN status = 'GOOD' AND ip <> host AND NOT live THEN ip END AS replace_ip,
+    """SELECT app, dc, token, coalesce(status, 'UNREACHABLE_NODES') AS status, CASE WHEN status = 'GOOD' AND ip <> host AND NOT live THEN ip END AS replace_ip,
         CASE WHEN status = 'GOOD' AND ip <> host AND live THEN 'owner_alive' WHEN status = 'MISMATCH' THEN 'gossip_mismatch' END AS error
-        FROM (SELECT c_custkey::VARCHAR AS token, '10.0.0.' || (c_custkey % 3) AS host FROM customer) LEFT JOIN consensus USING (token)""",
+        FROM (SELECT 'app' || (c_custkey % 3) AS app, 'dc' || (c_custkey % 2) AS dc, (c_custkey % 300)::VARCHAR AS token, '10.0.0.' || (c_custkey % 5) AS host FROM customer) LEFT JOIN consensus USING (app, dc, token)""",
 )
 def replace_ip_assigned(spark, sf):
     key = F.col("c_custkey")
-    host = F.concat(F.lit("10.0.0."), T.text(key % 3))
+    host = F.concat(F.lit("10.0.0."), T.text(key % 5))
     tokens = T.table(spark, sf, "customer").select(
-        T.text(key).alias("token"), host.alias("host_ip"), host.alias("private_ip")
+        *asked_by(key), host.alias("host_ip"), host.alias("private_ip")
     )
     return gossip.replace_ip_assigned(tokens, consensus(spark, sf))
 
@@ -542,15 +596,18 @@ def gossip_dumps(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "parse_gossip_dump",
     "ring",
-    """SELECT dump_id, public_ip, unnest(['PUBLIC_IP', 'GENERATION', 'HEARTBEAT', 'STATUS', 'DC', 'TOKENS']) AS name,
+    """SELECT public_ip, unnest(['PUBLIC_IP', 'GENERATION', 'HEARTBEAT', 'STATUS', 'DC', 'TOKENS']) AS name,
         unnest([public_ip, '1', (s_suppkey * 3)::VARCHAR, 'NORMAL', lower(s_name), token]) AS value
-        FROM (SELECT s_suppkey::VARCHAR AS dump_id, 'ip-' || s_suppkey AS public_ip, s_suppkey, s_name, tok::VARCHAR AS token
+        FROM (SELECT 'ip-' || s_suppkey AS public_ip, s_suppkey, s_name, tok::VARCHAR AS token
             FROM supplier JOIN ring ON id = s_suppkey)""",
 )
 def parse_gossip_dump(spark, sf):
+    """Dumps of up to 500 nodes each, written as text files and read from them."""
+    path = shared_dir(spark, "gossip-dumps")
+    gossip_dumps(spark, sf).select("dump").write.option("maxRecordsPerFile", 500).text(path)
     tokens = T.ring(spark, sf).select(F.col("ip").alias("public_ip"), F.col("token").alias("tokens"))
-    nodes = gossip_dump.parse_gossip_dump(gossip_dumps(spark, sf), tokens)
-    return nodes.select("dump_id", "public_ip", F.explode("attributes").alias("name", "value"))
+    nodes = gossip_dump.parse_gossip_dump(gossip_dump.read_dumps(spark, path), tokens)
+    return nodes.select("public_ip", F.explode("attributes").alias("name", "value"))
 
 
 @query(

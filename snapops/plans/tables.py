@@ -377,7 +377,7 @@ def transfers(events: DataFrame) -> DataFrame:
 
 @shared_plan
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What observers say about 200 tokens, as status documents and as parsed claims."""
+    """What observers say about 200 tokens of two applications, as status documents."""
     events = table(spark, sf_dir, "events")
     token = text(F.col("event_id") % 200)
     ip = F.when(F.expr("(event_id div 200) % 11") == 0, "10.0.0.2").otherwise("10.0.0.1")
@@ -393,13 +393,22 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('"}}'),
     )
     return events.select(
+        F.concat(F.lit("app"), text(F.expr("(event_id div 200) % 2"))).alias("app"),
         token.alias("token"),
-        F.col("user_id").cast("string").alias("observer"),
+        text(F.col("user_id")).alias("observer_token"),
+        F.concat(F.lit("DC"), text(F.col("user_id") % 4)).alias("observer_dc"),
         F.col("event_id").cast("bigint").alias("seq"),
         document.alias("document"),
     )
 
 
+@shared_plan
+def asked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every observed token, asked for in two dcs."""
+    tokens = observations(spark, sf_dir).select("app", "token").distinct()
+    return tokens.select("app", F.explode(F.array(F.lit("dc0"), F.lit("dc1"))).alias("dc"), "token")
+
+
 @shared_plan
 def config_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
@@ -502,16 +511,17 @@ CTES = {
         978307200000 + s_suppkey * 1000 AS updated_ms
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "tr": "SELECT user_id::VARCHAR AS node, event_type AS kind, round(value * 1000)::BIGINT AS size, ts, epoch_us(ts) // 1000 AS ts_ms, event_id AS seq FROM events",
-    "cons0": """SELECT (event_id % 200)::VARCHAR AS token, event_id AS seq, event_type <> 'error' AS reachable,
-        CASE WHEN (event_id // 200) % 11 = 0 THEN '10.0.0.2' ELSE '10.0.0.1' END AS ip, value > 100 AS live FROM events""",
-    "cons1": "SELECT *, row_number() OVER (PARTITION BY token ORDER BY seq) AS rn FROM cons0 WHERE reachable",
-    "cons2": """SELECT token, arg_min(ip, rn) AS ip1, arg_min(live, rn) AS live1, count(*) AS heard FROM cons1 WHERE rn <= 3 GROUP BY token""",
-    "cons3": """SELECT c.token, arg_min(c.ip, rn) AS ip2, arg_min(c.live, rn) AS live2 FROM cons1 c JOIN cons2 f ON c.token = f.token
-        WHERE rn <= 3 AND (c.ip <> ip1 OR c.live <> live1) GROUP BY c.token""",
-    "consensus": """SELECT n.token, CASE WHEN ip2 IS NOT NULL THEN 'MISMATCH' WHEN heard >= least(3, n) THEN 'GOOD' ELSE 'UNREACHABLE_NODES' END AS status,
+    "obs": """SELECT 'app' || (event_id // 200 % 2) AS app, (event_id % 200)::VARCHAR AS token, user_id::VARCHAR AS observer_token, 'dc' || (user_id % 4) AS observer_dc,
+        event_id AS seq, event_type <> 'error' AS reachable, CASE WHEN (event_id // 200) % 11 = 0 THEN '10.0.0.2' ELSE '10.0.0.1' END AS ip, value > 100 AS live FROM events""",
+    "cons0": """SELECT app, observer_dc AS dc, token, seq, reachable, ip, live FROM obs WHERE observer_dc IN ('dc0', 'dc1') AND observer_token <> token""",
+    "cons1": "SELECT *, row_number() OVER (PARTITION BY app, dc, token ORDER BY seq) AS rn FROM cons0 WHERE reachable",
+    "cons2": """SELECT app, dc, token, arg_min(ip, rn) AS ip1, arg_min(live, rn) AS live1, count(*) AS heard FROM cons1 WHERE rn <= 3 GROUP BY app, dc, token""",
+    "cons3": """SELECT app, dc, token, arg_min(ip, rn) AS ip2, arg_min(live, rn) AS live2 FROM cons1 JOIN cons2 USING (app, dc, token)
+        WHERE rn <= 3 AND (ip <> ip1 OR live <> live1) GROUP BY app, dc, token""",
+    "consensus": """SELECT n.app, n.dc, n.token, CASE WHEN ip2 IS NOT NULL THEN 'MISMATCH' WHEN heard >= least(3, n) THEN 'GOOD' ELSE 'UNREACHABLE_NODES' END AS status,
         CASE WHEN ip2 IS NOT NULL AND NOT live1 THEN ip2 ELSE ip1 END AS ip,
         CASE WHEN ip2 IS NOT NULL AND NOT live1 THEN live2 ELSE live1 END AS live
-        FROM (SELECT token, count(*) AS n FROM cons0 GROUP BY token) n LEFT JOIN cons2 USING (token) LEFT JOIN cons3 USING (token)""",
+        FROM (SELECT app, dc, token, count(*) AS n FROM cons0 GROUP BY app, dc, token) n LEFT JOIN cons2 USING (app, dc, token) LEFT JOIN cons3 USING (app, dc, token)""",
     "cfg": """SELECT 'app' AS app, user_id::VARCHAR AS node, (props::JSON ->> '$.k') AS property,
         CASE WHEN event_type <> 'error' THEN event_id::VARCHAR END AS value,
         CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 ELSE 4 END AS priority,
@@ -533,6 +543,7 @@ NEEDS = {
     "ent_read": ["ent", "hurt"],
     "judged": ["man", "ent", "hurt"],
     "verdict": ["judged", "ent_read"],
+    "cons0": ["obs"],
     "cons1": ["cons0"],
     "cons2": ["cons1"],
     "cons3": ["cons1", "cons2"],

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def read_dumps(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("dump_id"), F.col("value").alias("dump"))
 
 

@@ -15,7 +15,7 @@ def read_manifest_files(spark: SparkSession, path: str) -> DataFrame:
     Parts written by :func:`snapops.operators.manifests.build_manifest_v2` are of bounded
     size, so a row always fits a task.
     """
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     return files.select(
         F.col("_metadata.file_path").alias("manifest_path"),
         F.col("_metadata.file_name").alias("file_name"),

@@ -1,4 +1,5 @@
 import random
+from decimal import ROUND_HALF_EVEN, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,35 +79,83 @@ def test_status_store_replaces_only_given_days(spark, tmp_path):
     ],
 )
 def test_gossip_consensus(spark, views, expected):
-    rows = [("t", i, v is not None, *(v or (None, None))) for i, v in enumerate(views)]
-    seen = spark.createDataFrame(rows, "token string, seq long, reachable boolean, ip string, live boolean")
-    row = gossip.gossip_consensus(seen).first()
-    assert (row.status, row.ip, row.live) == expected
+    rows = [("a", "d", "t", i, v is not None, *(v or (None, None))) for i, v in enumerate(views)]
+    rows += [("b", "d", "t", 0, True, "elsewhere", True)]  # the same token in another application
+    seen = spark.createDataFrame(rows, "app string, dc string, token string, seq long, reachable boolean, ip string, live boolean")
+    found = {r.app: (r.status, r.ip, r.live) for r in gossip.gossip_consensus(seen).collect()}
+    assert found == {"a": expected, "b": ("GOOD", "elsewhere", True)}
+
+
+def test_observers_are_of_the_same_application_and_dc(spark):
+    rows = [("a", "5", "5", "east"), ("a", "5", "6", "EAST"), ("a", "5", "7", "west"), ("b", "5", "6", "east"), ("a", "8", "6", "east")]
+    seen = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "app string, token string, observer_token string, observer_dc string, seq int")
+    asked = spark.createDataFrame([("a", "east", "5"), ("a", "west", "5")], "app string, dc string, token string")
+    assert {(r.dc, r.seq) for r in gossip.eligible_observations(seen, asked).collect()} == {("east", 1), ("west", 2)}
 
 
 def test_replacement_decisions(spark):
     said = spark.createDataFrame(
         [("1", "GOOD", "x", True), ("2", "GOOD", "x", False), ("3", "MISMATCH", "x", True), ("4", "UNREACHABLE_NODES", None, None)],
         "token string, status string, ip string, live boolean",
-    )
-    tokens = spark.createDataFrame([(str(i), f"r{i}", "h", "p") for i in range(1, 5)], "token string, registry_ip string, host_ip string, private_ip string")
-    dead = {r.token: r.replace_ip for r in gossip.replace_ip_existing(tokens, said).collect()}
-    assert dead == {"1": None, "2": "x", "3": None, "4": "r4"}
-    own = {r.token: (r.replace_ip, r.error) for r in gossip.replace_ip_assigned(tokens, said).collect()}
+    ).select(F.lit("a").alias("app"), F.lit("d").alias("dc"), "*")
+    tokens = spark.createDataFrame([("a", "d", str(i), f"r{i}", "h", "p") for i in range(1, 5)] + [("b", "d", "1", "r9", "h", "p")], "app string, dc string, token string, registry_ip string, host_ip string, private_ip string")
+    dead = {(r.app, r.token): r.replace_ip for r in gossip.replace_ip_existing(tokens, said).collect()}
+    assert dead == {("a", "1"): None, ("a", "2"): "x", ("a", "3"): None, ("a", "4"): "r4", ("b", "1"): "r9"}
+    own = {r.token: (r.replace_ip, r.error) for r in gossip.replace_ip_assigned(tokens, said).collect() if r.app == "a"}
     assert own == {"1": (None, "owner_alive"), "2": ("x", None), "3": (None, "gossip_mismatch"), "4": (None, None)}
     lenient = gossip.replace_ip_assigned(tokens, said, permit_mismatch=True)
-    assert {r.token: r.error for r in lenient.collect()}["3"] is None
-
-
-def test_gossip_dump(spark):
-    block = "/127.0.0.{i}\n  generation:15\n  heartbeat:1565153\n  STATUS:16:{s},99\n  DC:9:us-east\n  TOKENS:387:<hidden>\n"
-    text = "".join(block.format(i=i, s="BOOT_REPLACE" if i == 8 else "NORMAL") for i in range(1, 9) if i != 3) + "/x\n  a:b\n"
-    dumps = spark.createDataFrame([("d", text)], "dump_id string, dump string")
-    tokens = spark.createDataFrame([("127.0.0.1", "[123,234]")], "public_ip string, tokens string")
-    nodes = {r.public_ip: r.attributes for r in gossip_dump.parse_gossip_dump(dumps, tokens).collect()}
-    assert len(nodes) == 7
-    assert nodes["127.0.0.1"] == {"PUBLIC_IP": "127.0.0.1", "GENERATION": "15", "HEARTBEAT": "1565153", "STATUS": "NORMAL", "DC": "us-east", "TOKENS": "[123,234]"}
-    assert [k for k, v in nodes.items() if v["STATUS"] == "BOOT_REPLACE"] == ["127.0.0.8"] and "TOKENS" not in nodes["127.0.0.8"]
+    assert {(r.app, r.token): r.error for r in lenient.collect()}["a", "3"] is None
+
+
+def test_claims_give_no_token_twice(spark):
+    draw = random.Random(12)
+    decided, dead = [], []
+    for i in range(120):
+        rack, slot = f"r{draw.randrange(3)}", draw.random() < 0.2
+        dead.append(("a", rack, draw.choice(["east", "west"]), i, str(i * 10), slot))
+        decided.append(("a", dead[-1][2], str(i * 10), None if slot or draw.random() < 0.4 else f"ip{i}"))
+    asking = [("a", f"r{draw.randrange(3)}", f"n{i:03d}") for i in range(100)] + [("a", "r0", "n000")] * 2 + [("a", "empty", "n900")]
+    found = ring.claims(
+        spark.createDataFrame(asking, "app string, rack string, instance_id string"),
+        spark.createDataFrame(dead, "app string, rack string, dc string, id long, token string, pregenerated boolean"),
+        spark.createDataFrame(decided, "app string, dc string, token string, replace_ip string"),
+    ).collect()
+    address = {t: ip for _, _, t, ip in decided}
+    expected = {}
+    for rack in {r for _, r, _ in asking}:
+        offers = [(i, t, address[t], "dead") for _, r, _, i, t, slot in dead if r == rack and not slot and address[t]]
+        offers += [(i, t, None, "slot") for _, r, _, i, t, slot in dead if r == rack and slot]
+        for n, instance in enumerate(sorted({i for _, r, i in asking if r == rack})):
+            expected[rack, instance] = offers[n] if n < len(offers) else (None, None, None, None)
+    assert {(r.rack, r.instance_id): (r.id, r.token, r.replace_ip, r.source) for r in found} == expected
+    taken = [r.token for r in found if r.token]
+    assert len(taken) == len(set(taken)) and any(r.source == "slot" for r in found) and any(r.source is None for r in found)
+
+
+def plain_dump(nodes):
+    """A dump in the text form: a line with the address, then ``name:value`` or ``name:version:value``."""
+    return "".join(f"/{ip}\n" + "".join(f"  {':'.join((name, *map(str, value)))}\n" for name, value in lines) for ip, lines in nodes)
+
+
+def test_gossip_dumps_are_read_back(spark, tmp_path):
+    draw = random.Random(9)
+    expected, tokens = {}, {}
+    for d in range(3):
+        nodes = []
+        for n in range(draw.randint(2, 6)):
+            ip = f"192.168.{d}.{n}"
+            status, beat = draw.choice(["NORMAL", "LEFT", "BOOT"]), draw.randrange(10**6)
+            lines = [("generation", [n]), ("heartbeat", [beat]), ("STATUS", [7, f"{status},{draw.randrange(99)}"]), ("RACK", [3, f"rack{n}"])]
+            if n % 2:
+                lines.append(("TOKENS", [4, "<hidden>"]))
+                tokens[ip] = f"[{n}]"
+            nodes.append((ip, lines))
+            expected[ip] = {"PUBLIC_IP": ip, "GENERATION": str(n), "HEARTBEAT": str(beat), "STATUS": status, "RACK": f"rack{n}"} | ({"TOKENS": tokens[ip]} if n % 2 else {})
+        (tmp_path / f"dump{d}.txt").write_text(plain_dump(nodes) + "/192.168.9.9\n  short:1\n")
+    known = spark.createDataFrame(list(tokens.items()), "public_ip string, tokens string")
+    found = gossip_dump.parse_gossip_dump(gossip_dump.read_dumps(spark, str(tmp_path)), known).collect()
+    assert {r.public_ip: r.attributes for r in found} == expected
+    assert len({r.dump_id for r in found}) == 3
 
 
 def instances(spark, rows):
@@ -153,17 +202,73 @@ def test_seeds(spark):
     assert full == [(1, "h2"), (1, "h2"), (2, "h1")]
 
 
-def test_registry_changes(spark):
-    now = 10_000_000
-    table = instances(spark, [(1, "i1", "r", "d", "10"), (2, "i2", "r", "d", "20"), (3, "i3", "r", "d", "30")])
-    columns = "seq long, op string, app string, dc string, id long, expected_instance string, expected_token string, instance_id string, hostname string, ip string, rack string, token string"
-    rows = [
-        (1, "update", "a", "d", 1, "i1", "10", "n1"), (2, "update", "a", "d", 1, "i1", "10", "n2"), (3, "update", "a", "d", 2, "zz", "20", "n3"),
-        (4, "create", "a", "d", 3, None, None, "n4"), (5, "create", "a", "d", 4, None, None, "n5"), (6, "delete", "a", "d", 3, None, None, None),
-    ]
-    after, refused = ring.registry_cas_apply(table, spark.createDataFrame([(*r, "h", "ip", "r", "t") for r in rows], columns), now)
-    assert {r.id: r.instance_id for r in after.collect()} == {1: "n1", 2: "i2", 4: "n5"}
-    assert {r.seq: r.reason for r in refused.collect()} == {2: "lost_race", 3: "condition_failed", 4: "condition_failed"}
+CHANGES = "seq long, op string, app string, dc string, id long, expected_instance string, expected_token string, instance_id string, hostname string, ip string, rack string, token string"
+
+
+def plain_registry(rows, changes, now):
+    """The changes one after the other on a plain dictionary."""
+    table, refused = {(r[0], r[6], r[1]): (r[2], r[7], r[8]) for r in rows}, []
+    for seq, op, app, dc, i, instance, token, new, *_, new_token in sorted(changes):
+        at = table.get((app, dc, i))
+        if op == "update":
+            good = at is not None and at[:2] == (instance, token)
+        else:
+            good = op == "delete" or at is None or (app.endswith("-dead") and at[2] < now - 180_000)
+        if not good:
+            refused.append(seq)
+        elif op == "delete":
+            table.pop((app, dc, i), None)
+        else:
+            table[app, dc, i] = (new, new_token, now)
+    return table, sorted(refused)
+
+
+def test_registry_changes_build_on_each_other(spark):
+    now, draw = 10_000_000, random.Random(14)
+    rows = [(app, i, f"i{i}", "h", "ip", "r", "d", str(i), now - draw.choice([1, 500_000])) for app in ("a", "a-dead") for i in range(12)]
+    names = ["i0", "i1", "x", "y"]
+    changes = [(0, "create", "a", "d", 99, None, None, "x", "h", "ip", "r", "1"), (1, "update", "a", "d", 99, "x", "1", "y", "h", "ip", "r", "2"), (2, "update", "a", "d", 99, "y", "2", "z", "h", "ip", "r", "3")]
+    for seq in range(3, 400):
+        i = draw.randrange(15)
+        changes.append((seq, draw.choice(["update", "update", "create", "delete"]), draw.choice(["a", "a-dead"]), "d", i, draw.choice([f"i{i}", *names]), draw.choice([str(i), "7"]), draw.choice(names), "h", "ip", "r", draw.choice([str(i), "7"])))
+    shuffled = draw.sample(changes, len(changes))
+    after, refused = ring.registry_cas_apply(spark.createDataFrame(rows, RING_INSTANCE), spark.createDataFrame(shuffled, CHANGES), now)
+    table, lost = plain_registry(rows, changes, now)
+    assert {(r.app, r.dc, r.id): (r.instance_id, r.token, r.updated_ms) for r in after.collect()} == table
+    assert sorted(r.seq for r in refused.collect()) == lost and 0 < len(lost) < len(changes)
+    assert table["a", "d", 99] == ("z", "3", now)
+    none = ring.registry_cas_apply(spark.createDataFrame([], RING_INSTANCE), spark.createDataFrame([], CHANGES), now)
+    assert none[0].count() == none[1].count() == 0
+
+
+def test_rounds_look_at_the_newest_first(spark):
+    draw = random.Random(17)
+    rows, good, paid = [], set(), set()
+    for token in map(str, range(20)):
+        for at in range(draw.randint(1, 12)):
+            path = f"m{token}-{at}"
+            rows.append(("c", token, at, path, path if draw.random() < 0.1 else None))
+            if draw.random() < 0.3:
+                good.add(path)
+    looked = []
+
+    def verdicts_of(asked):
+        paths = [r.manifest_path for r in asked.collect()]
+        looked.append(paths)
+        return asked.withColumn("valid", F.col("manifest_path").isin(sorted(good)))
+
+    candidates = spark.createDataFrame(rows, "cluster string, token string, snapshot_ms long, manifest_path string, seen string")
+    found = {r.token: (r.manifest_path, r.valid, r.round) for r in verify.newest_valid_in_rounds(candidates, verdicts_of, "seen IS NOT NULL").collect()}
+    total = 0
+    for token in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == token), key=lambda r: -r[2])
+        holds = [r for r in own if r[3] in good or r[4]]
+        assert (found[token][0] if token in found else None) == (holds[0][3] if holds else None)
+        depth = own.index(holds[0]) + 1 if holds else len(own)
+        size = next(2**k - 1 for k in range(1, 9) if 2**k > depth)
+        total += sum(r[4] is None for r in own[:size])
+    assert sum(map(len, looked)) == total < len(rows)
+    assert verify.newest_valid_in_rounds(candidates.limit(0), verdicts_of).count() == 0
 
 
 def test_no_rate_without_a_target(spark):
@@ -210,23 +315,30 @@ def test_health_rule(spark):
     assert {r.node: r.healthy for r in found.collect()} == expected
 
 
-def test_compactions_and_flush(spark):
-    tables = spark.createDataFrame(
-        [("a", k, t) for k, t in [("abc", "column1"), ("abc", "column2"), ("def", "dude"), ("def", "ghi"), ("System_Auth", "r")]],
-        "app string, keyspace string, column_family string",
-    )
+def test_compaction_and_flush_targets(spark):
+    draw = random.Random(23)
+    owned = {(k, t) for k in ("sales", "stock", "plans") for t in ("day", "week", "year")}
+    tables = spark.createDataFrame([("a", k, t) for k, t in [*owned, ("system", "peers"), ("SYSTEM_TRACES", "events")]], "app string, keyspace string, column_family string")
+
+    def listed(text, k, t):
+        return any(e in (f"{k}.*", f"{k}.{t}") for e in text.split(","))
+
+    for _ in range(6):
+        inc, exc = (draw.choice([None, "sales.*", "sales.day,stock.*", "plans.year", "system.*,stock.week"]) for _ in range(2))
+        expected = {(k, t) for k, t in owned if (not inc or listed(inc, k, t)) and not (exc and listed(exc, k, t))}
+        assert {(r.keyspace, r.column_family) for r in admin.compaction_targets(tables, inc, exc).collect()} == expected
+    asked = spark.createDataFrame([("a", "stock"), ("a", "gone"), ("a", "system"), ("b", "stock")], "app string, keyspace string")
+    assert {(r.app, r.keyspace, r.error) for r in admin.flush_targets(tables, asked).collect()} == {("a", "stock", None), ("a", "gone", "no_such_keyspace"), ("b", "stock", "no_such_keyspace")}
+    assert {r.keyspace for r in admin.flush_targets(tables).collect()} == {"sales", "stock", "plans"}
 
-    def targets(inc, exc):
-        return {(r.keyspace, r.column_family) for r in admin.compaction_targets(tables, inc, exc).collect()}
 
-    assert targets("abc.column1,def.*", "def.*") == {("abc", "column1")}
-    assert targets("def.*", "def.ghi") == {("def", "dude")}
-    assert targets(None, "def.ghi") == {("abc", "column1"), ("abc", "column2"), ("def", "dude")}
-    flushed = admin.flush_targets(tables, spark.createDataFrame([("a", "abc"), ("a", "no"), ("a", "System_Auth")], "app string, keyspace string"))
-    assert {(r.keyspace, r.error) for r in flushed.collect()} == {("abc", None), ("no", "no_such_keyspace")}
-    running = spark.createDataFrame([(0, 0), (1, 800), (3, 800), (1, 3), (5, 5)], "bytes_complete long, total_bytes long")
-    assert [r.progress for r in admin.compaction_progress(running).collect()] == ["n/a", "0.12%", "0.38%", "33.33%", "100.00%"]
-    assert len(admin.histogram_offsets()) == 90 and admin.histogram_offsets(8) == [1, 2, 3, 4, 5, 6, 7, 8]
+def test_compaction_progress_and_histograms(spark):
+    shares = [(0, 0), (0, 7), (7, 7), (1, 3), (2, 3), (1, 800), (3, 800), (5, 800), (10**12, 3 * 10**12)]
+    shown = [r.progress for r in admin.compaction_progress(spark.createDataFrame(shares, "bytes_complete long, total_bytes long")).collect()]
+    exact = [None if not t else (Decimal(c) * 100 / Decimal(t)).quantize(Decimal("0.01"), ROUND_HALF_EVEN) for c, t in shares]
+    assert shown == ["n/a" if e is None else f"{e}%" for e in exact]
+    offsets = admin.histogram_offsets()
+    assert len(offsets) == 90 and offsets == sorted(set(offsets)) and admin.histogram_offsets(8) == list(range(1, 9))
 
 
 def test_notification_types():
