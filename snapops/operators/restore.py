@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from snapops.constants import MAX_COMMIT_LOGS
 from snapops.operators.catalog import build_catalog, rejected_rows, restore_target, valid_rows
 from snapops.operators.filters import filter_keyspace_table
+from snapops.operators.nearest import closest_token
 from snapops.operators.verify import latest_valid_manifest
 from snapops.ranges import DateRange
 
@@ -43,6 +44,23 @@ def unrestorable(entries: DataFrame, verdicts: DataFrame, span: DateRange, v2: b
     return rejected_rows(build_catalog(listed.select(F.col("backup_path").alias("remote_path"), "size", F.lit(None).cast("bigint").alias("modified_ms"))))
 
 
+def nearest_sources(wanted: DataFrame, backed_up: DataFrame) -> DataFrame:
+    """``(cluster, token, source_token)``: the backed-up token nearest to each node's own.
+
+    A node whose token was never backed up, as after a ring was rebuilt with other tokens,
+    restores from the nearest one of its cluster; of two at one distance, from the higher. A
+    cluster without backups has null sources.
+    """
+    found = closest_token(wanted.select(*NODE).distinct(), backed_up.select(*NODE).distinct(), ["cluster"])
+    return found.select(*NODE, F.col("closest").alias("source_token"))
+
+
+def plan_from_sources(plan: DataFrame, sources: DataFrame) -> DataFrame:
+    """The plan of each node's source as the plan of the node; several nodes may share a source."""
+    of_source = plan.withColumnRenamed("token", "source_token")
+    return sources.join(of_source, ["cluster", "source_token"]).select(*PLAN, "source_token")
+
+
 def restore_plan(
     catalog: DataFrame,
     entries: DataFrame,

@@ -21,7 +21,8 @@ def valid_events(events: DataFrame) -> DataFrame:
 def status_fold(events: DataFrame) -> DataFrame:
     """Current record of each run from its start, finish, fail and update events.
 
-    The last event wins; a run keeps the first completion it was given. Both are partial
+    The last event wins; a run keeps the first completion it was given, also if it is reported
+    complete again. Both are partial
     aggregates, so a run with many events costs one row per task in the shuffle.
     """
     return run_records(merge_partials(run_partials(events)))

@@ -9,6 +9,8 @@ from snapops.constants import (
     COMPRESSION_INFO_SUFFIX,
     DATA_FILE_SUFFIX,
     HOUR_MS,
+    MANIFEST_V1_NAME,
+    MANIFEST_V2_PATTERN,
     MINUTE_MS,
     SLO_HOURS,
 )
@@ -48,6 +50,42 @@ def build_upload_table(inventory: DataFrame, data_dir: str, base_dir: str, file_
     return with_remote_path(table)
 
 
+def build_log_and_manifest_uploads(inventory: DataFrame, data_dir: str, commit_log_dir: str, base_dir: str) -> DataFrame:
+    """Candidates that belong to no table: commit logs, and the manifests beside the table folders.
+
+    Files of the commit log folder are ``CL``; of the files that lie directly in the data
+    folder ``meta_v2_<time>.json`` is ``META_V2`` and ``meta.json`` ``META``; all others are
+    no candidates. They are dated by their modification, the epoch if it is unknown.
+    """
+    path = F.col("local_path")
+    data, logs = (folder.rstrip("/") + "/" for folder in (data_dir, commit_log_dir))
+    name = F.substring_index(path, "/", -1)
+    beside = path.startswith(data) & (F.concat(F.lit(data), name) == path)
+    file_type = (
+        F.when(path.startswith(logs), "CL")
+        .when(beside & name.rlike(MANIFEST_V2_PATTERN), "META_V2")
+        .when(beside & (F.lower(name) == MANIFEST_V1_NAME), "META")
+    )
+    modified = F.coalesce("modified_ms", F.lit(0)).cast("bigint")
+    none = F.lit(None).cast("string")
+    found = inventory.withColumn("file_type", file_type).filter(F.col("file_type").isNotNull())
+    table = found.withColumns(
+        {
+            "is_data": F.lit(False),
+            "base_dir": F.lit(base_dir),
+            "keyspace": none,
+            "column_family": none,
+            "file_name": name,
+            "last_modified_ms": modified,
+            "time_ms": modified,
+            "size": F.coalesce("size", F.lit(0)).cast("bigint"),
+            "compression": F.lit("SNAPPY"),
+            "encryption": F.lit("PLAINTEXT"),
+        }
+    )
+    return with_remote_path(table)
+
+
 def with_remote_path(table: DataFrame) -> DataFrame:
     return table.withColumn("remote_path", remote_path())
 
@@ -84,13 +122,13 @@ def compression_choice(
 
 
 def upload_order(candidates: DataFrame) -> DataFrame:
-    """Candidates in upload order: per node, data files after all other files.
+    """Candidates with ``upload_pass``: data files go in the second pass, all others in the first.
 
-    ``upload_pass`` carries the rule; the sort is one range partitioning, which spreads a hot
-    node over many tasks.
+    Nothing orders the files of a pass, so the fleet is not sorted; within a partition the
+    rows come pass by pass.
     """
     last = F.col("local_path").endswith(DATA_FILE_SUFFIX).cast("int")
-    return candidates.withColumn("upload_pass", last).orderBy(*NODE, "upload_pass", "local_path")
+    return candidates.withColumn("upload_pass", last).sortWithinPartitions("upload_pass")
 
 
 def upload_todo(candidates: DataFrame, listing: DataFrame) -> DataFrame:

@@ -179,6 +179,19 @@ def verify_backups_in_range(
     )
 
 
+def validation_events(verified: DataFrame, as_of_ms: int, seq: int) -> DataFrame:
+    """Run events that record the validation of the newly validated runs of ``verify_backups_in_range``.
+
+    Folded with the events before them (``seq`` must be above theirs) they date the run's
+    validation and change nothing else, so a later verification trusts the run.
+    """
+    new = verified.filter("newly_validated")
+    return new.select(
+        *NODE, "version", "start_ms", F.lit(as_of_ms).alias("event_ms"), F.lit(seq).cast("bigint").alias("seq"),
+        "status", "completed_ms", "snapshot_ok", "location", F.lit(as_of_ms).alias("last_validated_ms"),
+    )
+
+
 def slo_breaches(
     nodes: DataFrame,
     status: DataFrame,

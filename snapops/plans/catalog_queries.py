@@ -388,6 +388,19 @@ def verify_backups_in_range(spark, sf):
     return found.select("cluster", "token", "start_ms", "location", "newly_validated")
 
 
+@query(
+    "validated_runs",
+    "run verdict",
+    f"""SELECT r.* REPLACE (CASE WHEN v.valid AND r.last_validated_ms IS NULL AND status = 'FINISHED' AND version = 2
+        AND start_ms BETWEEN {SPAN.start_ms} AND {SPAN.end_ms} THEN {AS_OF} ELSE r.last_validated_ms END AS last_validated_ms)
+        FROM run r LEFT JOIN verdict v ON r.location = v.manifest_path""",
+)
+def validated_runs(spark, sf):
+    """Run records after the runs found complete were marked so by events of their own."""
+    verified = verify.verify_backups_in_range(run_records(spark, sf), run_verdicts(spark, sf, SPAN, force=False), 2, SPAN)
+    return S.status_fold(T.status_events(spark, sf).unionByName(verify.validation_events(verified, AS_OF, 2**40)))
+
+
 SLO_AS_OF = 880_000_000_000
 SLO_SPAN = DateRange(SLO_AS_OF - T.DAY, SLO_AS_OF)
 
@@ -515,23 +528,61 @@ def lifecycle_rule_plan(spark, sf):
 # --- restore --------------------------------------------------------------------------------
 
 
-@query(
-    "restore_plan",
-    "verdict v2",
-    f"""SELECT cluster, token, origin, 'SST_V2' AS file_type, keyspace, column_family, remote_path,
+RESTORE = f"""SELECT cluster, token, origin, 'SST_V2' AS file_type, keyspace, column_family, remote_path,
         '/data/' || keyspace || '/' || column_family || '/' || file_name AS target FROM (
         SELECT e.cluster, e.token, 'snapshot' AS origin, keyspace, column_family, backup_path AS remote_path, file_name
             FROM ent_read e JOIN {LATEST} l ON e.manifest_path = l.manifest_path
         UNION ALL SELECT v.cluster, v.token, 'incremental', keyspace, column_family, remote_path, file_name
             FROM v2 v JOIN {LATEST} l ON v.cluster = l.cluster AND v.token = l.token AND v.last_modified_ms BETWEEN l.snapshot_ms AND {SPAN.end_ms}
-            WHERE file_type = 'SST_V2') WHERE keyspace <> 'ks6'""",
-)
-def restore_plan(spark, sf):
+            WHERE file_type = 'SST_V2') WHERE keyspace <> 'ks6'"""
+
+
+@T.shared_plan
+def restore_of(spark: SparkSession, sf: str) -> DataFrame:
     return restore.restore_plan(
         catalog_v2(spark, sf), verify.in_span(stores.entries_v2(spark, sf), SPAN), span_verdicts(spark, sf), SPAN, exclude="ks6.*"
     )
 
 
+@query("restore_plan", "verdict v2", RESTORE)
+def restore_plan(spark, sf):
+    return restore_of(spark, sf)
+
+
+@query(
+    "restore_to_nearest",
+    "verdict v2",
+    f"""WITH plan AS MATERIALIZED ({RESTORE}),
+        w AS (SELECT DISTINCT 'app' || (c_custkey % 2) AS cluster, c_custkey % 37 AS t FROM customer),
+        b AS MATERIALIZED (SELECT DISTINCT cluster, token::BIGINT AS t FROM v2),
+        s AS (SELECT w.cluster, w.t::VARCHAR AS token, b.t::VARCHAR AS source_token FROM w JOIN b USING (cluster)
+            QUALIFY row_number() OVER (PARTITION BY w.cluster, w.t ORDER BY abs(w.t - b.t), b.t DESC) = 1)
+        SELECT s.cluster, s.token, source_token, origin, remote_path, target FROM s JOIN plan p ON p.cluster = s.cluster AND p.token = source_token""",
+)
+def restore_to_nearest(spark, sf):
+    """Nodes of a ring with other tokens, restored from the backed-up tokens nearest to theirs."""
+    key = F.col("c_custkey")
+    wanted = T.table(spark, sf, "customer").select(F.concat(F.lit("app"), T.text(key % 2)).alias("cluster"), T.text(key % 37).alias("token"))
+    sources = restore.nearest_sources(wanted, catalog_v2(spark, sf))
+    plan = restore.plan_from_sources(restore_of(spark, sf), sources)
+    return plan.select("cluster", "token", "source_token", "origin", "remote_path", "target")
+
+
+@query(
+    "unrestorable",
+    "verdict",
+    f"""WITH latest AS MATERIALIZED (SELECT manifest_path FROM {LATEST})
+        SELECT replace(backup_path, '/SNAPPY/', '/ZIP/') AS remote_path, 'unknown_compression' AS error FROM ent_read
+        WHERE keyspace = 'ks5' AND file_name LIKE '%-Index.db' AND manifest_path IN (SELECT manifest_path FROM latest)""",
+)
+def unrestorable(spark, sf):
+    """Paths of the chosen manifests that name a codec nobody knows."""
+    entries = verify.in_span(stores.entries_v2(spark, sf), SPAN)
+    odd = (F.col("keyspace") == "ks5") & F.col("file_name").endswith("-Index.db")
+    written = F.when(odd, F.replace("backup_path", F.lit("/SNAPPY/"), F.lit("/ZIP/"))).otherwise(F.col("backup_path"))
+    return restore.unrestorable(entries.withColumn("backup_path", written), span_verdicts(spark, sf), SPAN)
+
+
 @query(
     "restore_plan_v1",
     "man ent v1",

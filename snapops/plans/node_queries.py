@@ -75,6 +75,17 @@ def build_upload_table(spark, sf):
     )
 
 
+@query(
+    "log_and_manifest_uploads",
+    "v1 man",
+    """SELECT cluster, token, 'CL' AS file_type, '/commitlog/' || file_name AS local_path, remote_path FROM v1 WHERE file_type = 'CL'
+        UNION ALL SELECT cluster, token, 'META_V2', '/data/' || regexp_extract(manifest_path, '[^/]*$'), manifest_path FROM man""",
+)
+def log_and_manifest_uploads(spark, sf):
+    table = uploads.build_log_and_manifest_uploads(T.node_files(spark, sf), "/data", "/commitlog", "backup")
+    return table.select("cluster", "token", "file_type", "local_path", "remote_path")
+
+
 TRANSITION = 852_076_800_000
 
 

@@ -308,6 +308,22 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@shared_plan
+def node_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local files that belong to no table: manifests, commit logs, and others that are no candidates."""
+    places = ["cluster", "token", F.lit("us-east-1").alias("region")]
+    name = F.concat(F.lit("/data/meta_v2_"), minute_text(F.col("snapshot_ms")), F.lit(".json"))
+    nine = F.lit(9).cast("bigint").alias("size")
+    metas = manifests(spark, sf_dir).select(*places, name.alias("local_path"), nine, F.col("snapshot_ms").alias("modified_ms"))
+    key = F.col("o_custkey")
+    orders = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("app"), text(key % 2)).alias("cluster"), text(key % 10).alias("token"), "o_orderkey", ms("o_orderdate").alias("modified_ms")
+    )
+    logs = orders.select(*places, F.concat(F.lit("/commitlog/CommitLog-"), text(F.col("o_orderkey")), F.lit(".log")).alias("local_path"), nine, "modified_ms")
+    others = metas.withColumn("local_path", F.concat("local_path", F.lit(".tmp")))
+    return metas.unionByName(logs).unionByName(others).unionByName(inventory(spark, sf_dir))
+
+
 @shared_plan
 def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status_rows(table(spark, sf_dir, "orders"))
