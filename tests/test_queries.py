@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as registered
 
 DATA = "/root/testdata/sf0.001"
-HEADLINE = ["retention_plan", "verify_manifest_v2", "restore_plan", "closest_token", "status_fold", "build_catalog", "build_manifest_v2", "orphan_files", "snapshot_files", "latest_valid_manifest", "verify_latest_backup", "verify_latest_backup_forced", "verify_backups_in_range", "slo_breaches", "verified_notifications", "stream_metrics", "restore_plan_v1"]
+HEADLINE = ["retention_plan", "verify_manifest_v2", "restore_plan", "closest_token", "status_fold", "build_catalog", "build_manifest_v2", "orphan_files", "snapshot_files", "latest_valid_manifest", "verify_latest_backup", "verify_latest_backup_forced", "verify_backups_in_range", "slo_breaches", "verified_notifications", "stream_metrics", "restore_plan_v1", "judge_manifests", "read_manifest_v2", "claims", "restore_to_nearest", "unrestorable", "validated_runs", "log_and_manifest_uploads", "gossip_consensus", "registry_cas_apply", "notify_sink"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables not present")
 
