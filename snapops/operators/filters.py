@@ -18,6 +18,7 @@ from snapops.constants import (
 )
 from snapops.functions.text import minute_text
 from snapops.ranges import DateRange
+from snapops.session import kept
 
 
 @dataclass(frozen=True)
@@ -96,7 +97,8 @@ def list_by_type(catalog: DataFrame, span: DateRange, file_type: str = "", bucke
     """Report rows of the v1 objects in a range with the number of rows of their node.
 
     For ``META`` an object is listed when its snapshot also has the final manifest file. The
-    count per node is a partial aggregate joined back, so no node's rows meet in one task.
+    count per node is a partial aggregate, written down and joined back by its measured size,
+    so no node's rows meet in one task.
     """
     listed = list_v1_range(catalog, span)
     node = ["cluster", "token"]
@@ -109,7 +111,7 @@ def list_by_type(catalog: DataFrame, span: DateRange, file_type: str = "", bucke
             .select("base_dir", "region", *node, "time_ms")
         )
         listed = listed.join(complete, ["base_dir", "region", *node, "time_ms"], "left_semi")
-    counts = listed.groupBy(*node).agg(F.count(F.lit(1)).alias("num_files"))
+    counts = kept(listed.groupBy(*node).agg(F.count(F.lit(1)).alias("num_files")), "node-counts")
     report = F.struct(
         F.lit(bucket).alias("bucket"),
         F.col("remote_path").alias("filename"),

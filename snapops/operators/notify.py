@@ -97,7 +97,7 @@ def notify_sink(messages: DataFrame, path: str, batch: int) -> None:
     it replaces its own files, so each message is read once however often a batch is tried.
     """
     rows = messages.select("remote_path", "message", F.to_json("attributes").alias("attributes"))
-    rows.write.mode("overwrite").json(f"{path}/messages/batch={batch}")
+    rows.write.mode("overwrite").option("compression", "gzip").json(f"{path}/messages/batch={batch}")
     commit(messages.sparkSession, path, batch)
 
 

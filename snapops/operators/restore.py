@@ -11,6 +11,7 @@ from snapops.operators.filters import filter_keyspace_table
 from snapops.operators.nearest import closest_token
 from snapops.operators.verify import latest_valid_manifest
 from snapops.ranges import DateRange
+from snapops.session import kept
 
 NODE = ["cluster", "token"]
 PLAN = [*NODE, "origin", "file_type", "keyspace", "column_family", "remote_path", "target"]
@@ -39,7 +40,7 @@ def keep_largest_n(values: DataFrame, column: str, n: int, group: list[str] | No
 
 def unrestorable(entries: DataFrame, verdicts: DataFrame, span: DateRange, v2: bool = True) -> DataFrame:
     """``(remote_path, error)`` of the chosen manifests' paths that no restore can place."""
-    chosen = latest_valid_manifest(verdicts, span, closed=v2).select("manifest_path")
+    chosen = kept(latest_valid_manifest(verdicts, span, closed=v2).select("manifest_path"), "chosen")
     listed = entries.join(chosen, "manifest_path", "left_semi")
     return rejected_rows(build_catalog(listed.select(F.col("backup_path").alias("remote_path"), "size", F.lit(None).cast("bigint").alias("modified_ms"))))
 
@@ -58,7 +59,7 @@ def nearest_sources(wanted: DataFrame, backed_up: DataFrame) -> DataFrame:
 def plan_from_sources(plan: DataFrame, sources: DataFrame) -> DataFrame:
     """The plan of each node's source as the plan of the node; several nodes may share a source."""
     of_source = plan.withColumnRenamed("token", "source_token")
-    return sources.join(of_source, ["cluster", "source_token"]).select(*PLAN, "source_token")
+    return kept(sources, "sources").join(of_source, ["cluster", "source_token"]).select(*PLAN, "source_token")
 
 
 def restore_plan(
@@ -82,12 +83,15 @@ def restore_plan(
     The snapshot is the newest valid manifest of the range. A file in both the snapshot and
     the incrementals is listed twice, with its origin. Paths that do not parse are no rows of
     the plan; ``unrestorable`` lists them. ``racks(cluster, token, rack)`` and
-    ``backup_racks`` keep only nodes of those racks; an empty list keeps all.
+    ``backup_racks`` keep only nodes of those racks; an empty list keeps all. The choice, a
+    row per node, is written down: the manifests are verified once, and the catalog meets the
+    few nodes by their measured size.
     """
     chosen = latest_valid_manifest(verdicts, span, closed=v2)
     if backup_racks:
         inside = racks.filter(F.col("rack").isin(backup_racks)).select(*NODE).distinct()
         chosen = chosen.join(inside, NODE, "left_semi")
+    chosen = kept(chosen, "chosen")
 
     listed = entries.join(chosen.select("manifest_path"), "manifest_path", "left_semi").select(
         F.col("backup_path").alias("remote_path"),
@@ -120,5 +124,5 @@ def restore_plan(
                 "origin", F.lit("commitlog")
             )
         )
-    kept = filter_keyspace_table(plan, include, exclude)
-    return kept.withColumn("target", restore_target(data_dir, commit_log_dir)).select(*PLAN)
+    wanted = filter_keyspace_table(plan, include, exclude)
+    return wanted.withColumn("target", restore_target(data_dir, commit_log_dir)).select(*PLAN)

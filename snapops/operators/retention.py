@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapops.constants import COMPACTION_GRACE_DAYS, DAY_MS, FEATURE_START_MS, HOUR_MS
+from snapops.session import kept
 
 NODE = ["cluster", "token"]
 
@@ -29,7 +30,8 @@ def retention_plan(
     all loses nothing either.
 
     Time filters apply before any join; the keep set and the candidates meet once, on the
-    object path.
+    object path. The keep manifests and the nodes that have one, a row per node, are written
+    down, so that large tables meet them by their measured size.
     """
     period_ms = as_of_ms - retention_days * DAY_MS
     cutoff_ms = period_ms - grace_days * DAY_MS
@@ -41,9 +43,9 @@ def retention_plan(
         .agg(F.min_by("remote_path", F.struct("last_modified_ms", "remote_path")).alias("manifest_path"))
     )
     whole = judged.groupBy("manifest_path").agg(F.min("available").alias("available")).filter("available")
-    oldest = oldest.join(whole, "manifest_path", "left_semi")
+    oldest = kept(oldest.join(whole, "manifest_path", "left_semi"), "keep-manifests")
     keep = entries.join(oldest, [*NODE, "manifest_path"], "left_semi").select(*NODE, "backup_path")
-    guard = keep.select(*NODE).distinct()
+    guard = kept(keep.select(*NODE).distinct(), "keep-nodes")
 
     def report(rows: DataFrame) -> DataFrame:
         return rows.select(*NODE, "file_type", "remote_path", "last_modified_ms")
