@@ -11,6 +11,8 @@ from snapops.plans import stores
 from snapops.plans import tables as T
 from snapops.ranges import DateRange
 from snapops.schemas import LISTING
+from snapops.session import FIRST_PARTITIONS, INPUT_PER_PARTITION, MERGED_BYTES, fit_shuffles
+from snapops.sources import stored as stored_tables
 
 
 def plan_of(frame):
@@ -121,3 +123,45 @@ def test_report_rows_stay_where_they_are(spark):
     listed = filters.list_by_type(catalog, DateRange(0, 10**13), "SST", "b")
     assert "Exchange hash" not in plan_of(listed)
     assert {(r.token, r.num_files) for r in listed.collect()} == {("0", 100), ("1", 100), ("2", 100)}
+
+
+def test_shuffles_get_partitions_by_the_bytes_of_the_input(spark, folder, monkeypatch):
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    assert spark.conf.get(FIRST_PARTITIONS, None) is None and spark.conf.get(MERGED_BYTES, None) is None
+    fit_shuffles(spark, 100 * INPUT_PER_PARTITION)
+    assert (spark.conf.get(FIRST_PARTITIONS), spark.conf.get(MERGED_BYTES)) == ("100", "8m")
+    fit_shuffles(spark, 200 * INPUT_PER_PARTITION)
+    assert spark.conf.get(FIRST_PARTITIONS) == "200" and spark.conf.get("spark.sql.shuffle.partitions") == own
+    fit_shuffles(spark, 1)
+    assert spark.conf.get(FIRST_PARTITIONS, None) is None and spark.conf.get(MERGED_BYTES, None) is None
+    spark.conf.set(FIRST_PARTITIONS, "7")
+    try:
+        fit_shuffles(spark, 100 * INPUT_PER_PARTITION)
+        assert spark.conf.get(FIRST_PARTITIONS) == "7"
+        fit_shuffles(spark, 1)
+        assert spark.conf.get(FIRST_PARTITIONS) == "7" and spark.conf.get(MERGED_BYTES, None) is None
+    finally:
+        spark.conf.unset(FIRST_PARTITIONS)
+    asked = []
+    monkeypatch.setattr(stored_tables, "fit_shuffles", lambda session, size: asked.append(size))
+    stored_tables.stored(spark, "fitted", [f"{folder[0]}/orders.parquet"], lambda path: None)
+    assert asked[0] > 0
+
+
+def test_entries_meet_the_asked_manifests_where_they_are(spark):
+    rows = [("c", "1", 5, f"m{n}", True) for n in range(3)]
+    asked = spark.createDataFrame(rows[:2], "cluster string, token string, snapshot_ms bigint, manifest_path string, available boolean")
+    entries = spark.createDataFrame([("m0", "a"), ("m1", "a"), ("m1", "b"), ("m2", "b")], "manifest_path string, backup_path string")
+    found = verify.verify_manifest_v2(asked, entries, spark.createDataFrame([("a",)], "remote_path string"), asked=True)
+    semi = [line for line in plan_of(found).splitlines() if "LeftSemi" in line]
+    assert semi and all("BroadcastHashJoin" in line for line in semi)
+    assert sorted((r.manifest_path, r.files_matched, r.files_in_manifest_only, r.valid) for r in found.collect()) == [("m0", 1, 0, True), ("m1", 1, 1, False)]
+
+
+def test_paths_are_parsed_by_compiled_steps(spark):
+    hashed = "backup/880_app1/3/SST_V2/5/ks/t/SNAPPY/PLAINTEXT/f"
+    listing = spark.createDataFrame([(hashed, 1, None), (hashed.replace("880_", "881_"), 1, None)], LISTING)
+    catalog = C.build_catalog(listing)
+    steps = [line for line in plan_of(catalog).splitlines() if "Generate" in line]
+    assert steps and all("*(" in line for line in steps)
+    assert sorted((r.error or "") for r in catalog.collect()) == ["", "bad_cluster_hash"]
