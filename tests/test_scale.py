@@ -165,3 +165,14 @@ def test_paths_are_parsed_by_compiled_steps(spark):
     steps = [line for line in plan_of(catalog).splitlines() if "Generate" in line]
     assert steps and all("*(" in line for line in steps)
     assert sorted((r.error or "") for r in catalog.collect()) == ["", "bad_cluster_hash"]
+
+
+def test_a_small_table_takes_no_partitions_from_a_large_one(spark, folder, monkeypatch):
+    asked, sizes = [], iter([300, 5, 5])
+    monkeypatch.setattr(stored_tables, "fit_shuffles", lambda session, size: asked.append(size))
+    monkeypatch.setattr(stored_tables, "files_state", lambda session, paths: (1, next(sizes), 0))
+    T.forget_plans()
+    stored_tables.stored(spark, "large", ["a"], lambda path: stored_tables.stored(spark, "small", ["b"], lambda inner: None))
+    T.forget_plans()
+    stored_tables.stored(spark, "small", ["b"], lambda path: None)
+    assert asked == [300, 300, 5]
