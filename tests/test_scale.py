@@ -176,3 +176,16 @@ def test_a_small_table_takes_no_partitions_from_a_large_one(spark, folder, monke
     T.forget_plans()
     stored_tables.stored(spark, "small", ["b"], lambda path: None)
     assert asked == [300, 300, 5]
+
+
+def test_v1_entries_and_objects_are_shuffled_once(spark):
+    node = "cluster string, token string, "
+    wanted = spark.createDataFrame([("c", "1", 60_000, "m", True), ("c", "2", 60_000, "n", True), ("c", "3", 60_000, "o", True)], node + "snapshot_ms bigint, manifest_path string, available boolean")
+    listed = [("1", "a", "SNAP"), ("1", "a", "SNAP"), ("1", "b", "SNAP"), ("2", "b", "SST"), ("2", None, "SNAP")]
+    catalog = spark.createDataFrame([("c", t, 60_000, k, p, False) for t, p, k in listed], node + "time_ms bigint, file_type string, remote_path string, is_v2 boolean")
+    entries = spark.createDataFrame([("m", "a"), ("m", "a"), ("m", "a"), ("m", "b"), ("n", "b"), ("n", None), ("o", "a")], "manifest_path string, backup_path string")
+    found = verify.verify_manifest_v1(wanted, entries.repartition("backup_path").dropDuplicates(), catalog)
+    by_path = [line for line in plan_of(found).splitlines() if "Exchange hashpartitioning" in line and "path" in line.split("Exchange")[1] and "manifest_path#" not in line.split("Exchange")[1]]
+    assert len(by_path) == 2
+    bag = verify.verify_manifest_v1(wanted, entries, catalog)
+    assert sorted((r.manifest_path, r.files_matched, r.files_in_manifest_only, r.valid) for r in bag.collect()) == [("m", 3, 0, True), ("n", 0, 2, False), ("o", 0, 0, False)]
