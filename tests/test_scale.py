@@ -189,3 +189,10 @@ def test_v1_entries_and_objects_are_shuffled_once(spark):
     assert len(by_path) == 2
     bag = verify.verify_manifest_v1(wanted, entries, catalog)
     assert sorted((r.manifest_path, r.files_matched, r.files_in_manifest_only, r.valid) for r in bag.collect()) == [("m", 3, 0, True), ("n", 0, 2, False), ("o", 0, 0, False)]
+
+
+def test_the_listing_is_not_sent_to_every_task(spark):
+    entries = spark.createDataFrame([("m", "a"), ("m", "b"), ("n", None)], "manifest_path string, backup_path string")
+    found = verify.missing_files(entries, spark.createDataFrame([("a",), ("a",), (None,)], "remote_path string"))
+    assert "BroadcastExchange" not in plan_of(found) and "SortMergeJoin" in plan_of(found)
+    assert sorted(r.manifest_path for r in found.collect()) == ["m", "n"]
