@@ -196,3 +196,59 @@ def test_the_listing_is_not_sent_to_every_task(spark):
     found = verify.missing_files(entries, spark.createDataFrame([("a",), ("a",), (None,)], "remote_path string"))
     assert "BroadcastExchange" not in plan_of(found) and "SortMergeJoin" in plan_of(found)
     assert sorted(r.manifest_path for r in found.collect()) == ["m", "n"]
+
+
+def test_manifests_are_spread_over_quarters_and_objects_are_not(spark, tmp_path):
+    shipped = [datetime(1999, 4, 1), datetime(1999, 12, 31), datetime(2000, 1, 1), datetime(2000, 1, 2), datetime(2000, 2, 29), datetime(2000, 3, 31), datetime(2000, 4, 1), None]
+    taken = [datetime(1999, 4, 1), datetime(2000, 1, 1), datetime(2000, 5, 1), datetime(2001, 1, 1), datetime(2001, 3, 31), datetime(2001, 4, 1), None]
+    orders = [(n, cust, "F", 1.0, at, "1-X") for n, (cust, at) in enumerate((c, at) for c in (1, -12, None) for at in taken)]
+    lines = [(o[0], part, 1, 2.0, at) for o in orders for at in shipped for part in (1, -2, 3, 2**62, None)]
+    spark.createDataFrame(orders, T.SCHEMAS["orders"]).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, T.SCHEMAS["lineitem"]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    T.forget_plans()
+    found = T.entries_v1(spark, str(tmp_path))
+    exploded = [line for line in plan_of(found).splitlines() if "Generate explode" in line]
+    dated = [line for line in plan_of(found).splitlines() if "date_format" in line]
+    assert len(exploded) == 1 and "snapshot_ms" in exploded[0] and "last_modified_ms" not in exploded[0]
+    assert dated and all("last_modified_ms" not in line for line in dated)
+    moments = lambda at: int((at - datetime(1970, 1, 1)).total_seconds()) * 1000
+    quarters = {datetime(at.year, (at.month - 1) // 3 * 3 + 1, 1) for at in taken if at}
+    wanted = sorted(
+        (f"app{app}", str(node), moments(q), f"backup/us-east-1/app{app}/{node}/{q:%Y%m%d%H%M}/SNAP/ks{ks}/cf{cf}/mc-{part}-Index.db")
+        for app, node in ((1, 1), (0, -2)) for q in quarters for at in shipped if at and moments(q) - T.YEAR <= moments(at) <= moments(q)
+        for part, ks, cf in ((1, 1, 1), (-2, -2, -2), (2**62, 2**62 % 7, 2**62 % 11))
+    )
+    assert wanted and sorted(tuple(r) for r in found.select("cluster", "token", "snapshot_ms", "backup_path").collect()) == wanted
+    assert T.objects(spark, str(tmp_path)).count() == 3 * len(shipped) * 5
+
+
+def test_parts_are_collected_without_a_sort_while_few_paths_are_held(spark, tmp_path, monkeypatch):
+    rows = [("c", "1", 60_000, f"x/{n:04d}") for n in range(2_000)]
+    files = spark.createDataFrame(rows, "cluster string, token string, snapshot_ms bigint, backup_path string").coalesce(1)
+    snapshots = spark.createDataFrame([("c", "1", 60_000, "m")], "cluster string, token string, snapshot_ms bigint, manifest_path string")
+    name, asked, held = manifests.HELD_GROUPS, [], manifests._parts_held
+
+    def watched(session, files_per_part):
+        asked.append(files_per_part)
+        return held(session, files_per_part)
+
+    monkeypatch.setattr(manifests, "_parts_held", watched)
+    for per_part in (4, None):
+        path = f"{tmp_path}/{per_part}"
+        manifests.write_manifests(manifests.build_manifest_v1(files, 4), snapshots, path, per_part)
+        parts = spark.read.parquet(f"{path}/parts")
+        assert parts.count() > 128 and parts.agg(F.sum("n_files")).first()[0] == 2_000
+        listed = parts.select(F.explode(F.from_json("document", "array<string>"))).collect()
+        assert sorted(r[0] for r in listed) == [r[3] for r in rows]
+    assert asked == [4, None] and spark.conf.get(name, None) is None
+    with held(spark, 100):
+        assert spark.conf.get(name) == "5000"
+    for few in (None, 10_000):
+        with held(spark, few):
+            assert spark.conf.get(name, None) is None
+    spark.conf.set(name, "200")
+    try:
+        with held(spark, 100):
+            assert spark.conf.get(name) == "200"
+    finally:
+        spark.conf.unset(name)
