@@ -246,9 +246,9 @@ def test_parts_are_collected_without_a_sort_while_few_paths_are_held(spark, tmp_
     for few in (None, 10_000):
         with held(spark, few):
             assert spark.conf.get(name, None) is None
-    spark.conf.set(name, "200")
+    spark.conf.set(name, "128")
     try:
         with held(spark, 100):
-            assert spark.conf.get(name) == "200"
+            assert spark.conf.get(name) == "128"
     finally:
         spark.conf.unset(name)
