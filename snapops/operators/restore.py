@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from snapops.constants import MAX_COMMIT_LOGS
 from snapops.operators.catalog import build_catalog, rejected_rows, restore_target, valid_rows
 from snapops.operators.filters import filter_keyspace_table
+from snapops.operators.manifests import Entries, entries_of
 from snapops.operators.nearest import closest_token
 from snapops.operators.verify import latest_valid_manifest
 from snapops.ranges import DateRange
@@ -38,10 +39,10 @@ def keep_largest_n(values: DataFrame, column: str, n: int, group: list[str] | No
     return distinct.withColumn("rank", F.row_number().over(largest)).filter(F.col("rank") <= n).drop("rank")
 
 
-def unrestorable(entries: DataFrame, verdicts: DataFrame, span: DateRange, v2: bool = True) -> DataFrame:
+def unrestorable(entries: Entries, verdicts: DataFrame, span: DateRange, v2: bool = True) -> DataFrame:
     """``(remote_path, error)`` of the chosen manifests' paths that no restore can place."""
     chosen = kept(latest_valid_manifest(verdicts, span, closed=v2).select("manifest_path"), "chosen")
-    listed = entries.join(chosen, "manifest_path", "left_semi")
+    listed = entries_of(entries, chosen)
     return rejected_rows(build_catalog(listed.select(F.col("backup_path").alias("remote_path"), "size", F.lit(None).cast("bigint").alias("modified_ms"))))
 
 
@@ -64,7 +65,7 @@ def plan_from_sources(plan: DataFrame, sources: DataFrame) -> DataFrame:
 
 def restore_plan(
     catalog: DataFrame,
-    entries: DataFrame,
+    entries: Entries,
     verdicts: DataFrame,
     span: DateRange,
     *,
@@ -93,7 +94,7 @@ def restore_plan(
         chosen = chosen.join(inside, NODE, "left_semi")
     chosen = kept(chosen, "chosen")
 
-    listed = entries.join(chosen.select("manifest_path"), "manifest_path", "left_semi").select(
+    listed = entries_of(entries, chosen).select(
         F.col("backup_path").alias("remote_path"),
         "size",
         F.lit(None).cast("bigint").alias("modified_ms"),

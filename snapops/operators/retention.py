@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapops.constants import COMPACTION_GRACE_DAYS, DAY_MS, FEATURE_START_MS, HOUR_MS
+from snapops.operators.manifests import Entries, entries_of
 from snapops.session import kept
 
 NODE = ["cluster", "token"]
@@ -13,7 +14,7 @@ NODE = ["cluster", "token"]
 
 def retention_plan(
     catalog: DataFrame,
-    entries: DataFrame,
+    entries: Entries,
     judged: DataFrame,
     as_of_ms: int,
     retention_days: int,
@@ -44,7 +45,7 @@ def retention_plan(
     )
     whole = judged.groupBy("manifest_path").agg(F.min("available").alias("available")).filter("available")
     oldest = kept(oldest.join(whole, "manifest_path", "left_semi"), "keep-manifests")
-    keep = entries.join(oldest, [*NODE, "manifest_path"], "left_semi").select(*NODE, "backup_path")
+    keep = entries_of(entries, oldest).join(oldest, [*NODE, "manifest_path"], "left_semi").select(*NODE, "backup_path")
     guard = kept(keep.select(*NODE).distinct(), "keep-nodes")
 
     def report(rows: DataFrame) -> DataFrame:

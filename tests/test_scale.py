@@ -252,3 +252,20 @@ def test_parts_are_collected_without_a_sort_while_few_paths_are_held(spark, tmp_
             assert spark.conf.get(name) == "128"
     finally:
         spark.conf.unset(name)
+
+
+def test_only_documents_of_asked_manifests_are_parsed_and_each_once(spark, folder):
+    path, _ = folder
+    T.forget_plans()
+    entries = stores.entries_v2(spark, path)
+    picked = entries.groupBy("manifest_path").count().orderBy("manifest_path").first()
+    asked = spark.createDataFrame([(picked.manifest_path,), (picked.manifest_path,), ("other",), (None,)], "manifest_path string")
+    of = stores.entries_asked_v2(spark, path)
+    for wanted in (manifests.entries_of(of, asked), manifests.entries_of(of, asked).select("manifest_path", "backup_path")):
+        lines = plan_of(wanted).splitlines()
+        parsed = [n for n, line in enumerate(lines) if "from_json(" in line]
+        met = [n for n, line in enumerate(lines) if "LeftSemi" in line]
+        assert len(parsed) == 1 and lines[parsed[0]].count("from_json(") == 1 and met and parsed[0] < min(met)
+    assert manifests.entries_of(of, asked).count() == picked["count"] > 0
+    assert manifests.entries_of(entries, asked).exceptAll(manifests.entries_of(of, asked)).isEmpty()
+    assert sum(line.count("from_json(") for line in plan_of(entries.select("backup_path")).splitlines()) == 1
