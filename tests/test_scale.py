@@ -13,6 +13,7 @@ from snapops.ranges import DateRange
 from snapops.schemas import LISTING
 from snapops.session import FIRST_PARTITIONS, INPUT_PER_PARTITION, MERGED_BYTES, fit_shuffles
 from snapops.sources import stored as stored_tables
+from snapops.sources.manifests import read_manifest_v2
 
 
 def plan_of(frame):
@@ -269,3 +270,30 @@ def test_only_documents_of_asked_manifests_are_parsed_and_each_once(spark, folde
     assert manifests.entries_of(of, asked).count() == picked["count"] > 0
     assert manifests.entries_of(entries, asked).exceptAll(manifests.entries_of(of, asked)).isEmpty()
     assert sum(line.count("from_json(") for line in plan_of(entries.select("backup_path")).splitlines()) == 1
+
+
+def test_documents_are_grouped_as_their_sorted_files_come(spark, tmp_path):
+    node = "cluster string, token string, snapshot_ms bigint, "
+    names = [f"mc-{n}-{kind}" for n in range(300) for kind in ("Data.db", "Index.db")] * 2 + [None, "plain"]
+    rows = [("c", t, 60_000, ks, "cf", name, n % 3, 5, f"{t}/{ks}/{name}", None if t == "3" else f"r{t}") for t in "123" for ks in ("k1", "k2", None) for n, name in enumerate(names)]
+    files = spark.createDataFrame(rows, node + "keyspace string, column_family string, file_name string, size bigint, last_modified_ms bigint, backup_path string, region string")
+    files = files.withColumns({"rack": F.lit("r1"), "creation_ms": F.col("last_modified_ms"), "compression": F.lit("LZ4"), "encryption": F.lit("PLAINTEXT")})
+    listing = spark.createDataFrame([(f"1/k1/{n}",) for n in names if n and "Data" in n], "remote_path string")
+    built = manifests.build_manifest_v2(files, listing, 7)
+    before = spark.conf.get(manifests.SORTED_GROUPS, None)
+    snapshots = spark.createDataFrame([("c", "1", 60_000, "m"), ("c", "2", 60_000, "n")], node + "manifest_path string")
+    with manifests._parts_held(spark, None):
+        grouping = [line.split("(")[0] for line in plan_of(built).splitlines() if "collect_" in line]
+        assert len(grouping) == 2 and all("SortAggregate" in line for line in grouping)
+        assert sum("Exchange hash" in line and "file_name" not in line for line in plan_of(built).splitlines()) == 2
+    assert spark.conf.get(manifests.SORTED_GROUPS, None) == before
+    manifests.write_manifests(built, snapshots, str(tmp_path / "m"))
+    there = spark.read.parquet(str(tmp_path / "m/parts"))
+    assert there.exceptAll(built).isEmpty() and built.exceptAll(there).isEmpty()
+    found = {}
+    for r in read_manifest_v2(there.select("file_name", "document")).collect():
+        found.setdefault((r.token, r.keyspace), set()).add((r.prefix, r.file_name, r.size, r.is_uploaded))
+    wanted = {(name.rsplit("-", 1)[0], name, n % 3, ks == "k1" and "Data" in name) for ks in ("k1",) for n, name in enumerate(names) if name and "-" in name}
+    assert found[("1", "k1")] == wanted and set(found) == {("1", "k1"), ("1", "k2"), ("2", "k1"), ("2", "k2")}
+    assert there.groupBy("token", "keyspace", "part_no").count().filter("count > 1").isEmpty()
+    assert {r.n for r in there.groupBy("token", "keyspace").agg(F.count_distinct("part_no").alias("n")).collect()} <= set(range(30, 44))
